@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of a word of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after A-Z are lower-cased; all others become a space.
@@ -88,3 +89,14 @@ def list_column(lengths, values: pa.Array) -> pa.Array:
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), values)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``place``, the file and row number of each row; what isn't a plain file scan is written first."""
+    if "place" in {c.lower() for c in docs.columns}:
+        raise ValueError("the column name place is taken")
+    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+    try:
+        return docs.withColumn("place", place)
+    except AnalysisException:
+        return materialise(docs, "located").withColumn("place", place)

@@ -11,10 +11,9 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WHITE, forget, materialise, scratch_path, text_or_empty
+from .common import WHITE, forget, materialise, placed, scratch_path, text_or_empty
 
 STATE = "digest binary, keep_id long, locator string, arrivals long"
 #: A row with a null identifier is ordered after all others.
@@ -77,17 +76,8 @@ def latest(spark: SparkSession, index: str) -> DataFrame:
     )
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``place``, the file and row number of each row; what isn't a plain file scan is written first."""
-    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
-    try:
-        return docs.withColumn("place", place)
-    except AnalysisException:
-        return materialise(docs, "dedup-input").withColumn("place", place)
-
-
 def dedup_rows(docs: DataFrame, digest=lambda text: F.unhex(F.sha2(text, 256)), per_batch: int | None = None) -> DataFrame:
-    """exact_dedup() with the column ``place`` beside it; ``docs`` comes from _placed()."""
+    """exact_dedup() with the column ``place`` beside it; ``docs`` comes from placed()."""
     spark = docs.sparkSession
     root = scratch_path(spark, "dedup")
     own = F.col("doc_id").cast("long")
@@ -146,14 +136,12 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     equal texts exactly one stays. An empty table gives no row. Options: ``digest`` maps a normalised text to binary;
     ``per_batch`` limits the files of a micro-batch, else all there are make one.
     """
-    return dedup_rows(_placed(docs), **options).drop("place")
+    return dedup_rows(placed(docs), **options).drop("place")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text a row that stays has; all its columns as they are."""
     columns = docs.columns
-    if "place" in {c.lower() for c in columns}:
-        raise ValueError("the column name place is taken")
-    placed = _placed(docs)
-    gone = materialise(dedup_rows(placed).filter("NOT kept").select("place"), "dedup-gone")
-    return placed.join(gone, "place", "left_anti").select(*columns)
+    located = placed(docs)
+    gone = materialise(dedup_rows(located).filter("NOT kept").select("place"), "dedup-gone")
+    return located.join(gone, "place", "left_anti").select(*columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, decontaminate, exact_dedup, licenses, packing, sharding, token_file, tokens, url_rules
+from . import common, decontaminate, exact_dedup, licenses, lm_score, near_dup, packing, quality, sharding, token_file, tokens, url_rules
 
 #: (verdict, host, path)
 URL_RULES = [
@@ -16,6 +16,15 @@ URL_RULES = [
 ]
 
 
+def trusted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return common.table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("trusted"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.placed(common.table(spark, sf_dir, "documents"))
+    return quality.classify(docs, trusted_labels(spark, sf_dir)).drop("place")
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch_path(spark, "token-file")
     docs = common.table(spark, sf_dir, "documents")
@@ -33,6 +42,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, benchmark).drop("row")
 
 
+def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = trusted_labels(spark, sf_dir).filter("trusted").select("doc_id")
+    return lm_score.cross_entropy_difference(common.table(spark, sf_dir, "documents"), target)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(common.table(spark, sf_dir, "documents")).drop("found")
 
@@ -48,6 +62,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.with_ids_crc32(packed, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"])
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.jaccard_components(common.table(spark, sf_dir, "documents"))
+
+
 def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = common.text_or_empty()
     docs = common.table(spark, sf_dir, "documents").select(
@@ -62,7 +80,18 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_file, op3_url_rules, op4_decontaminate, op6_license_scan, op7_exact_dedup, op8_packing, op10_histogram_shards)
+    for f in (
+        op1_quality_classifier,
+        op2_token_file,
+        op3_url_rules,
+        op4_decontaminate,
+        op5_cross_entropy_difference,
+        op6_license_scan,
+        op7_exact_dedup,
+        op8_packing,
+        op9_jaccard_join,
+        op10_histogram_shards,
+    )
 }
 
 SQL = {
