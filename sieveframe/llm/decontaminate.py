@@ -14,13 +14,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD_BYTES, byte_values
+from .common import WORD_BYTES, byte_values, materialise, placed
 
 WORD = re.compile(rb"[^ ]+")
 #: A benchmark of more bytes than this is scanned for shard by shard; every shard's automaton fits a worker.
 SHARD_BYTES = 8 << 20
 
-HITS = "row long, doc_id long, n_words long, starts array<long>, ends array<long>, items array<array<string>>"
+HITS = "place string, doc_id long, n_words long, starts array<long>, ends array<long>, items array<array<string>>"
 
 _automata: dict[int, object] = {}
 
@@ -79,21 +79,21 @@ def _search(shared, key: int, size: int):
                     rows.append(((folded.count(b" ") + 1) if folded else 0, scan(automaton, folded)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("row"),
+                        batch.column("place"),
                         batch.column("doc_id"),
                         pa.array([n for n, _ in rows], type=pa.int64()),
                         pa.array([[x[0] for x in f] for _, f in rows], type=pa.list_(pa.int64())),
                         pa.array([[x[1] for x in f] for _, f in rows], type=pa.list_(pa.int64())),
                         pa.array([[list(x[2]) for x in f] for _, f in rows], type=pa.list_(pa.list_(pa.string()))),
                     ],
-                    names=["row", "doc_id", "n_words", "starts", "ends", "items"],
+                    names=["place", "doc_id", "n_words", "starts", "ends", "items"],
                 )
 
     return run
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = 13, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per row of ``docs`` and shard of the benchmark: row, doc_id, n_words, starts, ends, items.
+    """One row per row of ``docs`` (from placed()): place, doc_id, n_words, starts, ends, items.
 
     A benchmark of up to ``shard_bytes`` (its bytes are counted first) is one shard with one automaton.
     """
@@ -101,7 +101,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = 13, shard_by
     known = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     weight = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-weight // shard_bytes))
-    read = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    read = docs.select("place", F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     for k in range(shards):
         part = known.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k)
@@ -110,7 +110,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = 13, shard_by
         found = one if found is None else found.unionByName(one)
     if shards == 1:
         return found
-    return found.groupBy("row").agg(
+    return found.groupBy("place").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
         *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")),
@@ -127,14 +127,14 @@ def _judged(starts: list[int], ends: list[int], items: list[list[str]]) -> tuple
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, **options) -> DataFrame:
-    """One row per row of ``docs``: row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per row of ``docs`` (from placed()): place, doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Reads doc_id and text of ``docs``, item_id and text of ``benchmark``, ignores further columns. A document is
     contaminated when some word lies inside a window of ``size`` benchmark words and such words are at least one in
     ``share``. Null and empty texts have no words; items without words have no windows; a null item id counts as the
     empty string; repeated rows keep a row each; empty tables give an empty result or no hits.
     """
-    kinds = "row long, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
+    kinds = "place string, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,12 +142,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
             judged = [_judged(*x) for x in zip(*columns)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *(batch.column(c) for c in ("row", "doc_id", "n_words")),
+                    *(batch.column(c) for c in ("place", "doc_id", "n_words")),
                     pa.array([x[0] for x in judged], type=pa.int64()),
                     pa.array([x[1] for x in judged], type=pa.int64()),
                     pa.array([x[2] for x in judged], type=pa.string()),
                 ],
-                names=["row", "doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
+                names=["place", "doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
             )
 
     return (
@@ -157,6 +157,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without the contaminated rows; all its columns as they are."""
+    columns = docs.columns
+    located = placed(docs)
+    gone = materialise(decontaminate(located, benchmark, **options).filter("contaminated").select("place"), "contaminated")
+    return located.join(gone, "place", "left_anti").select(*columns)
+
+
 def original_spans(text: str, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     """Byte offsets in the original UTF-8 text of runs of words (first word, word after the last)."""
     places = [m.span() for m in WORD.finditer(text.encode().translate(WORD_BYTES))]
