@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, types as T
 
 from ..functions.literals import utc
@@ -20,7 +21,7 @@ def pattern_checker(spark):
     def check(pattern: str) -> None:
         try:
             spark._jvm.java.util.regex.Pattern.compile(pattern)
-        except Py4JJavaError as e:
+        except (Py4JJavaError, IllegalArgumentException) as e:
             raise CompileError("the pattern is no regular expression") from e
 
     return check
