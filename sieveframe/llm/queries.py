@@ -94,7 +94,40 @@ QUERIES = {
     )
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str, pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
+
+
 SQL = {
+    "op4_decontaminate": rf"""
+WITH d AS (SELECT doc_id, {_words("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS ws FROM documents),
+i AS (SELECT item_id, {_words("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS ws FROM benchmark),
+s AS (SELECT item_id, ws, least(len(ws), 13) AS size FROM i WHERE len(ws) > 0),
+t AS (SELECT item_id, size, ws, unnest(range(1, len(ws) - size + 2)) AS pos FROM s),
+w AS (SELECT DISTINCT item_id, size, array_to_string(ws[pos:pos + size - 1], ' ') AS win FROM t),
+p AS (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS pos FROM d, (SELECT DISTINCT size FROM w) z WHERE len(ws) >= size),
+h AS (SELECT p.doc_id, p.pos, p.size, w.item_id FROM p JOIN w ON w.size = p.size AND w.win = array_to_string(p.ws[p.pos:p.pos + p.size - 1], ' ')),
+e AS (SELECT DISTINCT doc_id, pos, size FROM h),
+c AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS place FROM e) x GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) y GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id""",
+    "op9_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words("text", r"[^\x20\x09-\x0D]+")} AS ws FROM documents),
+l AS (SELECT doc_id, ws, least(len(ws), 5) AS size FROM d WHERE len(ws) > 0),
+u AS (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS pos FROM l),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[pos:pos + size - 1], ' ') AS shingle FROM u),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 75 * (nx.n + ny.n - k)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, links.y FROM reach r JOIN links ON links.x = r.y),
+least_reached AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id
+FROM d JOIN least_reached ON x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
     "op7_exact_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS full_text FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
