@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import LOWER_BYTES, byte_values, forget, materialise, placed
 from .graph import components
@@ -28,9 +29,9 @@ from .graph import components
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Shingles of a chunk that are counted together; a shingle is frequent if one document in FREQUENT of a chunk has it.
+#: Shingles of a chunk that are counted together; a shingle is frequent if OFTEN documents of a chunk have it.
 CHUNK = 3_000_000
-FREQUENT = 1000
+OFTEN = 3
 #: Frequent shingles that get their own place in the order. The order decides the cost, never the result.
 ORDERED = 1 << 18
 #: Bits of the filter that keeps documents without any company from the exchange of sets.
@@ -38,7 +39,9 @@ FILTER_WORDS = 1 << 20
 #: Rounds with one pivot per region before the pairs that are left are listed, or fewer: as soon as they are at most
 #: LISTED for each row of the open regions, so that the list grows with the input and not with its square.
 ROUNDS = 8
-LISTED = 8
+LISTED = 32
+#: Regions of more members have pivots first; the pairs of smaller ones are listed at once.
+LEAF = 8
 
 _MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64
@@ -55,12 +58,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
+    """word -> 64-bit hash, kept for the words met lately."""
 
+    def __missing__(self, word: bytes, hashed=xxh3_64_intdigest) -> int:
         if len(self) > 400_000:
             self.clear()
-        self[word] = out = xxh3_64_intdigest(word)
+        self[word] = out = hashed(word)
         return out
 
 
@@ -91,8 +94,10 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     size = min(n, words)
     total = np.full(n - size + 1, size, dtype=np.uint64)
     for k in range(size):
-        total += mix(ids[k : n - size + 1 + k] + np.uint64(k)) * _MULTIPLIERS[k % 5]
-    return np.unique(mix(total))
+        total += ids[k : n - size + 1 + k] * _MULTIPLIERS[k % 5]
+    found = mix(total)
+    found.sort()
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def signature(shingles: np.ndarray) -> int:
@@ -110,6 +115,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
         for at in range(0, whole.num_rows, 400):
             batch = whole.slice(at, 400)
             yield batch, [shingle_set(x) for x in byte_values(batch.column("text"))]
+    _words.clear()  # an idle worker holds no memory
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -123,7 +129,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def counted() -> pa.RecordBatch:
         found, count = np.unique(np.concatenate([*held.values(), np.zeros(0, dtype=np.uint64)]), return_counts=True)
-        often = count >= max(8, len(held) // FREQUENT)
+        often = count >= OFTEN
         n = int(often.sum())
         none = pa.nulls(n, pa.string())
         return pa.RecordBatch.from_arrays(
@@ -197,31 +203,30 @@ def _regions(shared):
 
 
 def _wanted_sets(shared):
-    """(node, shingles) of the documents whose node passes the filter, once for each task."""
+    """(node, shingles) of the rows whose place passes the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = shared.value, set()
-        for _, sets in _sets(batches):
-            nodes, blobs = [], []
-            for shingles in sets:
-                if len(shingles) and (node := signature(shingles)) not in seen:
-                    at = node & ((1 << 64) - 1)
-                    if int(bits[(at >> 6) % FILTER_WORDS]) >> (at & 63) & 1:
-                        seen.add(node)
-                        nodes.append(node)
-                        blobs.append(shingles.tobytes())
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array(blobs, type=pa.binary())], names=["node", "shingles"])
+        bits = shared.value
+        for whole in batches:
+            at = whole.column("at").to_numpy().view(np.uint64)
+            passes = (bits[(at >> np.uint64(6)) % np.uint64(FILTER_WORDS)] >> (at & np.uint64(63))) & np.uint64(1)
+            chosen = whole.filter(pa.array(passes.astype(bool)))
+            for _, sets in _sets(iter([chosen])):
+                found = [x for x in sets if len(x)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([signature(x) for x in found], type=pa.int64()), pa.array([x.tobytes() for x in found], type=pa.binary())],
+                    names=["node", "shingles"],
+                )
 
     return run
 
 
-def _filter_bits(nodes: DataFrame) -> np.ndarray:
-    """A bit for each hash class of ``nodes``, of fixed size whatever their number."""
-    where = F.pmod(F.shiftrightunsigned("node", 6), F.lit(FILTER_WORDS))
-    bit = F.expr("shiftleft(1L, cast(node & 63 AS int))")
+def _filter_bits(places: DataFrame) -> np.ndarray:
+    """A bit for each hash class of ``places`` (at), of fixed size whatever their number."""
+    where = F.pmod(F.shiftrightunsigned("at", 6), F.lit(FILTER_WORDS))
+    bit = F.expr("shiftleft(1L, cast(at & 63 AS int))")
     bits = np.zeros(FILTER_WORDS, dtype=np.uint64)
-    for batch in nodes.select(where.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
+    for batch in places.select(where.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
         bits[batch.column("at").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
     return bits
 
@@ -281,40 +286,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
         F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("sum"), F.min("node").alias("low"), F.max("node").alias("high")
     )
     kept = alike.filter("members > 1").groupBy("members", "sum", "low", "high").agg(F.min("shingle").alias("shingle"), F.count("*").alias("times"))
-    cells = materialise(regions.join(kept.select("shingle", "times"), "shingle"), "near-cells")
+    cells = materialise(regions.join(kept.select("shingle", "times", F.col("members").cast("int").alias("members")), "shingle"), "near-cells")
     forget(regions)
 
-    # How often a document meets others tells how central it is.
-    nodes = materialise(cells.groupBy("node").agg(F.first("n").alias("n"), F.sum("times").alias("met")), "near-nodes")
-    bits = spark.sparkContext.broadcast(_filter_bits(nodes))
-    wanted = read.select("text").mapInArrow(_wanted_sets(bits), "node long, shingles binary")
-    sets = materialise(wanted.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
-
-    cells = cells.join(nodes.select("node", "met"), "node").select("shingle", "node", "n", "met")
-    edges, roots = None, nodes.select("node", F.col("node").alias("root"))
-    for number in range(ROUNDS + 1):
-        open_cells = _open(cells, roots)
-        cells = materialise(open_cells, "near-open")
-        rows, left = cells.agg(F.count("*"), F.sum(F.col("members").cast("double") - 1) / 2).first()
-        if not rows:
-            break
-        last = number == ROUNDS or 0 < number and left <= LISTED * rows
-        if last:
-            pairs = _remaining(cells)
-        else:
-            pivots = cells.groupBy("shingle").agg(F.max(F.struct("met", "node", "n", "root")).alias("p"))
-            beside = cells.drop("members", "distance").join(pivots, "shingle").filter("node <> p.node")
-            pairs = beside.filter("root <> p.root").select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
-        measured = materialise(_measure(pairs.filter(FIT).distinct(), sets), "near-measured")
-        found = measured.filter("linked").select("a", "b")
-        edges = found if edges is None else edges.unionByName(found)
-        if measured.filter("linked").limit(1).count():
-            known = components(edges)
-            roots = materialise(nodes.select("node").join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "near-roots")
-        if last:
-            break
-        away = measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance")
-        cells = beside.withColumn("pivot", F.col("p.node")).join(away, ["pivot", "node"], "left").select("shingle", "node", "n", "met", "distance")
+    roots = _classes(own, read, cells)
     named = own.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
     named = materialise(named.select("doc_id", "place", "n", "class"), "near-named")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "place")
@@ -331,24 +306,122 @@ def near_classes(docs: DataFrame) -> DataFrame:
     )
 
 
+class _Sets:
+    """Whole shingle sets, fetched from the texts for those documents only that some test needs."""
+
+    def __init__(self, own: DataFrame, read: DataFrame):
+        self.own, self.read, self.sets = own, read, None
+
+    def covering(self, pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        if self.sets is not None:
+            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
+        places = self.own.join(nodes, "node").groupBy("node").agg(F.min("place").alias("place"))
+        where = materialise(places.select("node", F.xxhash64("place").alias("at")), "near-places")
+        if where.limit(1).count():
+            bits = where.sparkSession.sparkContext.broadcast(_filter_bits(where))
+            found = self.read.select(F.xxhash64("place").alias("at"), "text").mapInArrow(_wanted_sets(bits), "node long, shingles binary")
+            more = materialise(found.join(where.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        return self.sets if self.sets is not None else where.select("node", F.lit(b"").alias("shingles"))
+
+
+def _classes(own: DataFrame, read: DataFrame, cells: DataFrame) -> DataFrame:
+    """(node, root) for the documents of ``cells`` (shingle, node, n, times, members)."""
+    crowded = F.when(F.col("members") > LEAF, F.col("times")).otherwise(0)
+    nodes = materialise(cells.groupBy("node").agg(F.sum("times").alias("met"), F.sum(crowded).alias("crowd")), "near-nodes")
+    cells = cells.join(nodes, "node").select("shingle", "node", "n", "times", "members", "met", "crowd")
+    small, open_cells = cells.filter(F.col("members") <= LEAF).drop("members"), cells.filter(F.col("members") > LEAF)
+    sets, nodes = _Sets(own, read), nodes.select("node")
+    edges, roots = None, nodes.withColumn("root", F.col("node"))
+
+    def join(pairs: DataFrame) -> DataFrame:
+        """Measure the pairs, and let the links among them join classes."""
+        nonlocal edges, roots
+        pairs = materialise(pairs.select("a", "b", "na", "nb").distinct(), "near-pairs")
+        measured = materialise(_measure(pairs, sets.covering(pairs)), "near-measured")
+        linked = measured.filter("linked").select("a", "b")
+        if linked.limit(1).count():
+            edges = linked if edges is None else edges.unionByName(linked)
+            roots = _rooted(nodes, edges)
+        return measured
+
+    # Crowded regions: pivot after pivot joins documents to its class and leaves, until what is left can be listed.
+    pairs = _listed(small)
+    for number in range(ROUNDS + 1):
+        open_cells = materialise(_open(open_cells, roots), "near-open")
+        rows, left = open_cells.agg(F.count("*"), F.sum(F.col("members").cast("double") - 1) / 2).first()
+        if not rows:
+            break
+        if number == ROUNDS or 0 < number and left <= LISTED * rows:
+            pairs = _listed(open_cells)
+            break
+        pivots = open_cells.groupBy("shingle").agg(F.max(F.struct("met", "node", "n", "root")).alias("p"))
+        beside = open_cells.drop("members", "distance").join(pivots, "shingle").filter("node <> p.node")
+        tried = (
+            beside.filter("root <> p.root")
+            .select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.least("met", "p.met").alias("most"))
+            .filter(f"{FIT} AND most >= {LEAST}")
+        )
+        columns = ("a", "b", "na", "nb")
+        measured = join(tried.select(*columns) if pairs is None else tried.select(*columns).unionByName(pairs.select(*columns)))
+        pairs = None
+        away = measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance")
+        open_cells = (
+            beside.withColumn("pivot", F.col("p.node"))
+            .join(away, ["pivot", "node"], "left")
+            .select("shingle", "node", "n", "times", "met", "crowd", "distance")
+        )
+    if pairs is not None:
+        join(pairs)
+    return roots
+
+
+def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return materialise(nodes.join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "near-roots")
+
+
 def _open(cells: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of the regions that still hold two classes, with class and number of members."""
-    rooted = cells.drop("root").join(roots, "node")
-    several = rooted.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").cast("int").alias("members")).filter("r <> s").select("shingle", "members")
+    rooted = cells.drop("root", "members").join(roots, "node")
+    several = (
+        rooted.groupBy("shingle")
+        .agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").cast("int").alias("members"))
+        .filter("r <> s")
+        .select("shingle", "members")
+    )
     return rooted.join(several, "shingle")
 
 
-def _remaining(cells: DataFrame) -> DataFrame:
-    """Pairs of a region from different classes within the windows of size and of distance to the last pivot."""
+#: Linked sets of na and nb shingles share at least s = ceil(PERCENT (na + nb) / (100 + PERCENT)). Of the first p
+#: shingles of a set in the common order at most n - s are not shared, so both sets have the first
+#: min(pa - (na - s), pb - (nb - s)) of the shared shingles among their first ones.
+_SHARED = f"cast(ceil({PERCENT}D * (na + nb) / {100 + PERCENT}D - 1e-9) AS long)"
+LEAST = "least({}, {})".format(*(f"1 - cast(ceil({PERCENT}D * {n} / 100D - 1e-9) AS long) + {_SHARED}" for n in ("na", "nb")))
+
+
+def _listed(cells: DataFrame) -> DataFrame:
+    """The pairs (a, b, na, nb) of each region that may be linked.
+
+    Windows: sizes at which a link is possible, other classes where classes are known, and distances to the region's
+    pivot that the triangle inequality allows where they are known. Then the shingles in whose regions the two met:
+    those counted here, and for two documents with regions that are not listed here at most the fewer of those.
+    """
     distance = F.col("distance") if "distance" in cells.columns else F.lit(None).cast("double")
-    rows = cells.select("shingle", "node", "n", "root", distance.alias("away"))
-    names = {c: f"other_{c}" for c in ("node", "n", "root", "away")}
-    near = F.coalesce(F.abs(F.col("away") - F.col("other_away")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
-    return (
-        rows.join(rows.withColumnsRenamed(names), "shingle")
-        .filter((F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root")) & near)
-        .select(F.col("node").alias("a"), F.col("other_node").alias("b"), F.col("n").alias("na"), F.col("other_n").alias("nb"))
+    known = "root" in cells.columns
+    root = F.col("root") if known else F.col("node")
+    side = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n{x}"), root.alias(f"r{x}"), distance.alias(f"d{x}"), F.col("met").alias(f"m{x}"), F.col("crowd").alias(f"c{x}")]
+    near = F.coalesce(F.abs(F.col("da") - F.col("db")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
+    pairs = (
+        cells.select("shingle", "times", *side("a"))
+        .join(cells.select("shingle", *side("b")), "shingle")
+        .filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
+        .filter(f"{FIT} AND least(ma, mb) >= {LEAST}")
     )
+    if known:  # pivots have left, so shared regions are not all here
+        return pairs.select("a", "b", "na", "nb").distinct()
+    met = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("here"), F.min(F.least("ca", "cb")).alias("elsewhere"))
+    return met.filter(f"here + elsewhere >= {LEAST}")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
