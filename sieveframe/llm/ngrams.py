@@ -28,7 +28,7 @@ def words_of(text: bytes, table: bytes | None = None) -> Iterator[list[bytes]]:
 class Numbers(dict):
     """word -> number by ``make``, kept for the words met lately."""
 
-    def __init__(self, make: Callable[[bytes], int], keep: int = 400_000):
+    def __init__(self, make: Callable[[bytes], int], keep: int = 250_000):
         self.make, self.keep = make, keep
 
     def __missing__(self, word: bytes) -> int:
@@ -54,7 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[tuple
 class Tally:
     """Sums of several columns by key, held until there are ``most`` keys; full() and rest() hand them out."""
 
-    def __init__(self, names: list[str], most: int = 2_000_000):
+    def __init__(self, names: list[str], most: int = 1_000_000):
         self.names, self.most, self.parts, self.size = names, most, [], 0
 
     def add(self, keys: np.ndarray, *sums: np.ndarray) -> None:
