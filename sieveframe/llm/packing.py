@@ -59,6 +59,7 @@ def _cut(tokenizer: str, end_id: int, longest: int):
                     ],
                     names=["doc_id", "start", "length", "doc_tokens", "part", "bucket", "rank", "ids"],
                 )
+        tokens.release(tokenizer)
 
     return run
 

@@ -47,6 +47,7 @@ def _encode(tokenizer: str, end_id: int):
                     ],
                     names=["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
+        tokens.release(tokenizer)
 
     return run
 

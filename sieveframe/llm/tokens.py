@@ -1,26 +1,38 @@
 """Encoding of whole texts with a file of the ``tokenizers`` library, each distinct chunk once.
 
-A chunk is a run of white space and the run of other characters after it. Neither kind of pre-tokenizer lets a token
-cross from other characters into white space, nor looks further back, so the ids of a text are the ids of its chunks
-in a row. Texts with control characters on whose class Python and the tokenizer differ are encoded in one piece.
-Chunks that a worker has met lately are kept in two generations of bounded size; a miss costs time, never a result.
+A text is cut before white space that follows something else; neither kind of pre-tokenizer lets a token cross such a
+place or looks further back, so the ids of a text are the ids of its chunks in a row. Most texts have single spaces
+and line ends only, which need no pattern to be cut. A chunk of letters is one pre-token, so the library's model
+encodes it directly; all other chunks go through the whole tokenizer. Texts with control characters on whose class
+Python and the tokenizer differ are encoded in one piece. Chunks that a worker has met lately are kept in two
+generations of bounded size; a miss costs time, never a result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 
 #: White space and the rest; both kinds of tokenizer file are cut here.
 CHUNK = re.compile(r"\s*\S+|\s+")
-#: Characters that Python calls white space and the tokenizer does not, or the other way round.
-ODD = re.compile(r"[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+#: A text without this is cut at its spaces and line ends.
+RUN = re.compile(r"[ \n]\s")
+#: Characters that Python calls white space and the tokenizer does not, or the other way round; and NUL, the mark below.
+ODD = re.compile(r"[\x00\x1c-\x1f\x85᠎​﻿]")
 #: A long text is cut into chunks piece by piece, to bound what is held at once.
 PIECE = 1 << 20
 CUT = re.compile(r"(?<=\S)(?=\s)")
+#: Letters which lower-casing and normalisation map one by one.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įıĲ-ɏ]+")
+#: Marks that make one pre-token after letters (an apostrophe might not).
+MARKS = re.compile(r"[.,;:!?|]+")
+
+#: The printable stand-in of every byte in a byte-level vocabulary: printable bytes stand for themselves.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHER = [b for b in range(256) if b not in _SELF]
+STAND_IN = {b: chr(b) for b in _SELF} | {b: chr(256 + n) for n, b in enumerate(_OTHER)}
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -35,6 +47,19 @@ def pieces(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def chunks_of(text: str) -> list[str]:
+    """Keys of the chunks: of one that begins with a space, what follows it; NUL and the chunk of one that doesn't."""
+    if RUN.search(text):
+        return [x[1:] if x[0] == " " and len(x) > 1 and x[1] != "\n" else "\0" + x for x in CHUNK.findall(text)]
+    cut = text.replace("\n", " \n").split(" ")
+    cut[0] = "\0" + cut[0]
+    return cut
+
+
+def chunk_of(key: str) -> str:
+    return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
+
+
 class ChunkEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
@@ -43,59 +68,77 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keep, self.young, self.old = keep, {}, {}
+        self.model = self.tokenizer.model
+        self.keep, self.young, self.old, self.parts = keep, {}, {}, {}
+        # Whether the tokenizer lower-cases, and whether the space before a word is part of its token.
+        self.lower = self._plain_ids("A") == self._plain_ids("a")
+        self.spaced = self._plain_ids(" a") != self._plain_ids("a")
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.array(e.ids, dtype="<u4").tobytes()
-            for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        ]
+    def _plain_ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Afterwards the young generation holds every one of ``chunks``."""
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(self._plain_ids(x), dtype="<u4").tobytes() for x in texts]
+
+    def _word(self, word: str, space: bool) -> bytes:
+        """The ids of PLAIN letters, with or without a space before them."""
+        if self.lower:
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(STAND_IN)
+        found = self.model.tokenize("Ġ" + word if space and self.spaced else word)
+        return b"".join([t.id.to_bytes(4, "little") for t in found])
+
+    def _learn(self, keys: set[str]) -> None:
+        """Afterwards the young generation holds every one of ``keys``."""
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
-        missing = chunks - self.young.keys()
-        for chunk in missing & self.old.keys():
-            self.young[chunk] = self.old[chunk]
-        missing -= self.young.keys()
-        if missing:
-            todo = list(missing)
-            self.young.update(zip(todo, self._ids(todo)))
+        young, old, rest = self.young, self.old, []
+        for key in keys:
+            if (known := old.get(key)) is not None:
+                young[key] = known
+                continue
+            begin = key[:1]
+            at = 1 if begin in ("\0", "\n") else 0
+            found = PLAIN.match(key, at)
+            end = found.end() if found else at
+            if found and (end == len(key) or MARKS.fullmatch(key, end)):
+                # The line end, the letters and the marks are pre-tokens of their own.
+                ids = self._word(found[0], not at)
+                if begin == "\n":
+                    ids = self._part("\n") + ids
+                young[key] = ids + self._part(key[end:]) if end < len(key) else ids
+            else:
+                rest.append(key)
+        if rest:
+            young.update(zip(rest, self._ids([chunk_of(key) for key in rest])))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        group: list[list[str]] = []
-        held = 0
-
-        def flush() -> None:
-            nonlocal group, held
-            if group:
-                self._learn(set(chain.from_iterable(group)))
-                get = self.young.__getitem__
-                out.extend(b"".join(map(get, chunks)) for chunks in group)
-                group, held = [], 0
+    def _part(self, text: str) -> bytes:
+        if text not in self.parts:
+            if len(self.parts) > 10_000:
+                self.parts.clear()
+            self.parts[text] = self._ids([text])[0]
+        return self.parts[text]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
         for text in texts:
             if ODD.search(text):
-                flush()
                 out.append(self._ids([text])[0])
-            elif len(text) > PIECE:
-                flush()
-                parts = []
-                for piece in pieces(text):
-                    group = [CHUNK.findall(piece)]
-                    flush()
-                    parts.append(out.pop())
-                out.append(b"".join(parts))
             else:
-                group.append(CHUNK.findall(text))
-                held += len(text)
-                if held > PIECE:
-                    flush()
-        flush()
+                out.append(b"".join([self._known(chunks_of(piece)) for piece in pieces(text)]))
         return out
 
+    def _known(self, keys: list[str]) -> bytes:
+        found = list(map(self.young.get, keys))
+        if None in found:
+            self._learn({k for k, v in zip(keys, found) if v is None})
+            found = list(map(self.young.get, keys))
+            if None in found:  # a new generation began
+                self._learn(set(keys))
+                found = list(map(self.young.get, keys))
+        return b"".join(found)
+
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -110,6 +153,13 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def release(path: str) -> None:
+    """Forget the chunks met so far; called when a task ends, so that idle workers hold no memory."""
+    if path in _encoders:
+        held = _encoders[path]
+        held.young, held.old = {}, {}
+
+
 def public_path(name: str) -> str:
     import public_tokenizers
 
