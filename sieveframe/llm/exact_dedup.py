@@ -24,6 +24,8 @@ STORE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # After a commit the state is in the checkpoint; an executor keeps no working copy of all its partitions.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
@@ -101,7 +103,7 @@ def dedup_rows(docs: DataFrame, digest=lambda text: F.unhex(F.sha2(text, 256)),
     hits = state.filter("arrivals > 1").select("digest", "locator")
     hit_texts = materialise(texts.join(hits, "digest"), "dedup-hits")
     known = hit_texts.filter("place = locator").select("digest", F.col("full").alias("known"))
-    other = F.when(F.col("full") == F.col("known"), F.lit("")).otherwise(F.col("full"))
+    other = F.when(F.col("full") == F.col("known"), F.lit("")).otherwise(F.concat(F.lit("="), "full"))
     checked = materialise(
         hit_texts.join(known, "digest").select("digest", "place", "doc_id", "id", other.alias("other")), "dedup-checked"
     )
