@@ -45,8 +45,8 @@ TEMPLATES = (
     ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 
-#: Rare words of a template that are looked up.
-ANCHORS = 6
+#: Words of a template's mandatory phrase with the highest IDF that are looked up.
+ANCHORS = 2
 #: Share of a template's words that must stand in place.
 COVERAGE = 0.6
 
@@ -79,19 +79,28 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, anchors: int
     # Lower-casing all letters keeps the words apart as lower-casing A-Z does, but for the Kelvin sign.
     text = F.lower(F.replace(text_or_empty(), F.lit("K"), F.lit("ĸ")))
     words = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
-    kept = F.filter(
-        F.transform("words", lambda w, i: F.when(w.isin(lexicon), F.struct(i.cast("int").alias("pos"), w.alias("word")))),
-        lambda x: x.isNotNull(),
-    )
-    slim = materialise(words.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), kept.alias("hits")), "license-words")
 
-    files, = slim.agg(F.count("*")).first()
-    held = slim.select(F.explode(F.array_distinct(F.col("hits.word"))).alias("word")).groupBy("word").agg(F.count("*").alias("files"))
-    count = dict(held.collect())  # a row per word of the lexicon at most
+    def licence_words(among: list[str]) -> Column:
+        return F.filter(
+            F.transform("words", lambda w, i: F.when(w.isin(among), F.struct(i.cast("int").alias("pos"), w.alias("word")))),
+            lambda x: x.isNotNull(),
+        )
+
+    # IDF over all files first: a row per word of the lexicon at most comes back.
+    held = words.select(F.explode(F.array_distinct(F.filter("words", lambda w: w.isin(lexicon)))).alias("word"))
+    count = dict(held.groupBy("word").agg(F.count("*").alias("files")).collect())
+    (files,) = docs.agg(F.count("*")).first()
     idf = {w: math.log((files + 1) / (count.get(w, 0) + 1)) for w in lexicon}
     rare = {}
-    for number, (_, _, notice) in enumerate(templates):
-        rare[number] = sorted(set(notice.split()), key=lambda w: (-idf[w], w))[:anchors]
+    for number, (_, phrase, _) in enumerate(templates):  # a match needs the whole phrase, so its rarest words find all
+        rare[number] = sorted(set(phrase.split()), key=lambda w: (-idf[w], w))[:anchors]
+    looked_up = sorted({w for ws in rare.values() for w in ws})
+    # Only files with a looked-up word, or the first word of a base phrase, need the places of licence words.
+    needed = sorted({*looked_up, *(phrase.split()[0] for phrase, _ in base)})
+    hits = F.when(F.exists("words", lambda w: w.isin(needed)), licence_words(lexicon)).otherwise(
+        F.array().cast("array<struct<pos:int,word:string>>")
+    )
+    slim = materialise(words.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits")), "license-words")
     postings = []
     for number, (label, phrase, notice) in enumerate(templates):
         listed, must = notice.split(), phrase.split()
@@ -101,7 +110,6 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, anchors: int
             postings.append((word, number, label, pos, inside, word in rare[number], len(listed), len(must)))
     index = spark.createDataFrame(postings, "word string, template int, label string, at int, must boolean, anchor boolean, of int, musts int")
 
-    looked_up = sorted({w for ws in rare.values() for w in ws})
     candidates = slim.filter(F.exists("hits", lambda h: h["word"].isin(looked_up))).select("row", F.explode("hits").alias("hit")).select("row", F.col("hit.pos").alias("pos"), F.col("hit.word").alias("word"))
     aligned = (
         candidates.join(F.broadcast(index), "word")  # the templates are a parameter, some hundred rows
