@@ -1,11 +1,13 @@
 """Cross-entropy difference of two matched n-gram models.
 
 Target and background model are bigram models over one vocabulary, estimated alike (interpolated, absolute discount).
-The background counts are gathered from every document, the target counts from the documents named as target. The
-vocabulary keeps the words with at least a share ``rare`` of all words, so it holds at most 1 / rare of them; bigrams
-that reach that share in either model keep their own entry, at most 2 / rare, and the others fall back to their words
-in both models alike. Those bounds hold at any size of the corpus and make the tables fit every task; the counts
-themselves are summed in tables that grow with the corpus.
+The background counts are gathered from every document, the target counts from the documents named as target. Every
+word is in the vocabulary and every bigram that occurs has its entry, however rare it is and however large the corpus.
+
+The count tables grow with the corpus and are never held by a task. Bigrams are sharded by their words, and those of
+the documents are joined with them. Only for speed, and without effect on the result, the most frequent words and
+bigrams are met where they are read: at most ``NEAR_WORDS`` and ``NEAR_PAIRS`` of them, so their share shrinks as the
+corpus grows; all others go through the joins, which are thereby free of very common keys.
 """
 
 from __future__ import annotations
@@ -14,15 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import WORD_BYTES, materialise, text_or_empty
-from .ngrams import Numbers, Tally, lookup, slices, sorted_table
+from .ngrams import Numbers, Tally, slices, sorted_table
 
-BITS = 21
-OTHER, BEGIN = 0, 1
-FIRST = 2
+BEGIN = 0
 DISCOUNT = 0.75
+NEAR_WORDS, NEAR_PAIRS = 400_000, 2_000_000
+#: Losses are summed as integers in this unit, so that sums do not depend on their order.
+UNIT = 2.0**-30
+ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hash(word: bytes) -> int:
@@ -31,125 +35,137 @@ def _hash(word: bytes) -> int:
     return xxh3_64_intdigest(word) - (1 << 63)
 
 
-class Pair:
-    """Both models: per vocabulary word, and per kept bigram, as arrays in order of their keys."""
+def _key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (v.astype(np.int64).view(np.uint64) * ODD + w.astype(np.int64).view(np.uint64)).view(np.int64)
 
-    def __init__(self, hashes, word_probability, bigrams, parts, weights):
-        self.hashes = hashes  # sorted word hashes; token = FIRST + place
-        self.word_probability = word_probability  # (target, background), by token
-        self.bigrams, self.parts = bigrams, parts  # sorted keys; (target, background) discounted shares
-        self.weights = weights  # (target, background) mass left for single words, by context token
 
-    def tokens(self, numbers: Numbers, text: bytes) -> np.ndarray:
-        found = numbers.of(text, WORD_BYTES)
-        return lookup(self.hashes, np.arange(FIRST, FIRST + len(self.hashes)), found, OTHER).astype(np.int64)
+def _pairs_of(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For all words of all texts in a row: the one before each (or BEGIN), and the word."""
+    none = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate([x for t in words if len(t) for x in ([BEGIN], t[:-1])] or none).astype(np.int64), np.concatenate(words or none)
 
-    def losses(self, side: int, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        share = lookup(self.bigrams, self.parts[side], v << BITS | w, 0.0)
-        return -np.log(share + self.weights[side][v] * self.word_probability[side][w])
 
+class _PairTally(Tally):
+    """Counts of bigrams (key, v, w, n)."""
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    numbers, tally = Numbers(_hash), Tally(["word", "n", "target"])
-    for batch, texts in slices(batches):
-        chosen = batch.column("target").to_numpy(zero_copy_only=False)
-        found = [numbers.of(x, WORD_BYTES) for x in texts]
-        for flag in (False, True):
-            part = [x for x, y in zip(found, chosen) if y == flag]
-            if part:
-                words, n = np.unique(np.concatenate(part), return_counts=True)
-                tally.add(words, n, n * flag)
-        yield from tally.take()
-    yield from tally.take(force=True)
+    def _merged(self) -> tuple[np.ndarray, ...]:
+        keys, v, w, n = (np.concatenate(x) for x in zip(*self.parts))
+        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        return keys, v[first], w[first], np.bincount(inverse, weights=n, minlength=len(keys)).astype(np.int64)
 
 
-def _pairs_of(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    whole = np.concatenate([np.concatenate([[BEGIN], t]) for t in tokens if len(t)] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
-    after = np.flatnonzero(whole != BEGIN)
-    return whole[after - 1], whole[after]
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    numbers, tally = Numbers(_hash), _PairTally(["key", "v", "w", "n"])
+    for _, texts in slices(batches):
+        v, w = _pairs_of([numbers.of(x, WORD_BYTES) for x in texts])
+        tally.add(_key(v, w), v, w, np.ones(len(w), dtype=np.int64))
+        for out in tally.take():
+            yield out.select(["v", "w", "n"])
+    for out in tally.take(force=True):
+        yield out.select(["v", "w", "n"])
 
 
-def _count_pairs(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, numbers, tally = Pair(shared.value, *[None] * 4), Numbers(_hash), Tally(["pair", "n", "target"])
-        for batch, texts in slices(batches):
-            chosen = batch.column("target").to_numpy(zero_copy_only=False)
-            tokens = [model.tokens(numbers, x) for x in texts]
-            for flag in (False, True):
-                v, w = _pairs_of([x for x, y in zip(tokens, chosen) if y == flag])
-                keys, n = np.unique(v << BITS | w, return_counts=True)
-                tally.add(keys, n, n * flag)
-            yield from tally.take()
-        yield from tally.take(force=True)
+def _read(shared):
+    """For each row its number of words and the losses of its near bigrams; and a row for every other bigram."""
 
-    return run
-
-
-def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, numbers = shared.value, Numbers(_hash)
+        numbers, (keys, *losses) = Numbers(_hash), shared.value
         for batch, texts in slices(batches):
-            tokens = [model.tokens(numbers, x) for x in texts]
-            lengths = np.array([len(x) for x in tokens], dtype=np.int64)
+            words = [numbers.of(x, WORD_BYTES) for x in texts]
+            lengths = np.array([len(x) for x in words], dtype=np.int64)
             ends = np.cumsum(lengths)
-            v, w = _pairs_of(tokens)
+            v, w = _pairs_of(words)
+            wanted = _key(v, w)
+            at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+            found = keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
             sums = []
-            for side in (0, 1):
-                running = np.concatenate([[0.0], np.cumsum(model.losses(side, v, w))]) if len(v) else np.zeros(1)
-                sums.append(running[ends] - running[ends - lengths])
-            per = [pa.array(s / np.maximum(lengths, 1), mask=lengths == 0) for s in sums]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths), *per], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
+            for loss in losses:
+                running = np.concatenate([[0], np.cumsum(np.where(found, loss[at], 0) if len(keys) else np.zeros(len(wanted), dtype=np.int64))])
+                sums.append(pa.array(running[ends] - running[ends - lengths]))
+            row = batch.column("row").to_numpy()
+            none = pa.nulls(len(row), pa.int64())
+            names = ["row", "v", "w", "doc_id", "n_tokens", "t", "b"]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), none, none, batch.column("doc_id"), pa.array(lengths), *sums], names=names)
+            far = ~found
+            none = pa.nulls(int(far.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, lengths)[far]), pa.array(v[far]), pa.array(w[far]), none, none, none, none], names=names)
 
     return run
 
 
-def fit(read: DataFrame, rare: float) -> Pair:
-    """The models of ``read`` (text, target)."""
-    context = read.sparkSession.sparkContext
-    words = materialise(
-        read.select("text", "target").mapInArrow(_count_words, "word long, n long, target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("target").alias("target")),
-        "lm-words",
-    )
-    all_words, target_words = words.agg(F.sum("n"), F.sum("target")).first()
-    all_words, target_words = all_words or 0, target_words or 0
-    kept = words.filter(F.col("n") >= max(2.0, rare * all_words))
-    hashes, n, target = sorted_table(kept, "word", "n", "target")  # at most 1 / rare rows
-    pairs = materialise(
-        read.select("text", "target").mapInArrow(_count_pairs(context.broadcast(hashes)), "pair long, n long, target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("target").alias("target")),
-        "lm-pairs",
+def _least(table: DataFrame, count: str, most: int) -> int:
+    """The least count that at most ``most`` rows of ``table`` reach."""
+    seen = table.groupBy(F.least(count, F.lit(100_000)).alias("k")).agg(F.count("*").alias("rows")).collect()
+    upto, least = 0, 100_001
+    for k, rows in sorted(((x["k"], x["rows"]) for x in seen), reverse=True):
+        upto += rows
+        if upto > most:
+            break
+        least = k
+    return least
+
+
+def _beside(table: DataFrame, words: DataFrame, least: int) -> DataFrame:
+    """``table`` joined with ``words`` (its first column and uses): frequent words by a bounded broadcast."""
+    key = words.columns[0]
+    near, far = words.filter(F.col("uses") >= least).drop("uses"), words.filter(F.col("uses") < least).drop("uses")
+    near = F.broadcast(near)  # NEAR_WORDS rows
+    return table.join(near, key).unionByName(table.join(F.broadcast(near.select(key)), key, "left_anti").join(far, key))
+
+
+def fit(texts: DataFrame, target_texts: DataFrame) -> tuple[DataFrame, int]:
+    """For every bigram (v, w, n) its losses t and b in UNITs under both models; and from which n on it is near."""
+    count = lambda df: df.select("text").mapInArrow(_count_pairs, "v long, w long, n long")
+    both = count(texts).withColumn("target", F.lit(0).cast("long")).unionByName(count(target_texts).select("v", "w", F.lit(0).cast("long").alias("n"), F.col("n").alias("target")))
+    pairs = materialise(both.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("target").alias("target")), "lm-pairs")
+    contexts = pairs.groupBy(F.col("v").alias("word")).agg(
+        F.sum("n").alias("all_b"), F.sum("target").alias("all_t"), F.count("*").alias("kinds_b"), F.count_if(F.col("target") > 0).alias("kinds_t")
     )
-    by_context = pairs.groupBy(F.shiftright("pair", BITS).alias("context")).agg(F.sum("n").alias("all_n"), F.sum("target").alias("all_target"))
-    often = pairs.filter((F.col("n") >= max(2.0, rare * all_words)) | (F.col("target") >= max(2.0, rare * target_words)))
-    shares = [F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"all_{c}"), F.lit(1)) for c in ("target", "n")]
-    joined = often.withColumn("context", F.shiftright("pair", BITS)).join(by_context, "context").select("pair", shares[0].alias("t"), shares[1].alias("b"))
-    keys, *parts = sorted_table(joined, "pair", "t", "b")  # at most 2 / rare rows
-
-    size = FIRST + len(hashes)
-    weights, single = [], []
-    for side, (counts, total) in enumerate(((target, target_words), (n, all_words))):
-        left = np.ones(size)
-        np.subtract.at(left, keys >> BITS, parts[side])
-        weights.append(np.maximum(left, 1e-9))
-        known = np.zeros(size)
-        known[FIRST:] = counts
-        known[OTHER] = total - counts.sum()
-        single.append((known + 0.5) / (known.sum() + 0.5 * size))
-    return Pair(hashes, single, keys, parts, weights)
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, max_target: int = 20_000, rare: float = 2e-6) -> DataFrame:
+    words = pairs.groupBy(F.col("w").alias("word")).agg(F.sum("n").alias("n_b"), F.sum("target").alias("n_t"))
+    words = materialise(words.join(contexts, "word", "full").na.fill(0).withColumn("uses", F.greatest("n_b", "all_b")), "lm-words")
+    total_b, total_t, size = words.agg(F.sum("n_b"), F.sum("n_t"), F.count_if(F.col("n_b") > 0)).first()
+    least = _least(words, "uses", NEAR_WORDS)
+    single = lambda side, total: ((F.col(f"n_{side}") + 0.5) / ((total or 0) + 0.5 * max(size, 1))).alias(f"single_{side}")
+    priced = _beside(pairs, words.select(F.col("word").alias("v"), "all_b", "all_t", "kinds_b", "kinds_t", "uses"), least)
+    priced = _beside(priced, words.select(F.col("word").alias("w"), single("b", total_b), single("t", total_t), "uses"), least)
+
+    def loss(side: str, n: str) -> Column:
+        whole = F.greatest(F.col(f"all_{side}"), F.lit(1))
+        left = F.when(F.col(f"all_{side}") > 0, DISCOUNT * F.col(f"kinds_{side}") / whole).otherwise(1.0)
+        share = F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / whole
+        return F.round(-F.log(share + left * F.col(f"single_{side}")) / UNIT).cast("long")
+
+    return priced.select("v", "w", "n", loss("t", "target").alias("t"), loss("b", "n").alias("b")), _least(pairs, "n", NEAR_PAIRS)
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, max_target: int = 20_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score.
 
     The losses are -log P per word, ``score`` is target_loss - background_loss: the lower, the more a document is like
-    the target. ``target_ids`` (doc_id) names target documents; of them, ``max_target`` in order of a hash of their
-    ids are used, a bound that lets every task know them. Null and empty texts have no words, null losses and a null
-    score; null ids in ``target_ids`` are ignored; repeated rows keep a row each; further columns are ignored.
+    the target. ``target_ids`` (doc_id) names target documents; ``max_target`` of them are used. Null and empty texts
+    have no words, null losses and a null score; null ids in ``target_ids`` are ignored; repeated rows keep a row each;
+    further columns are ignored.
     """
     own = F.col("doc_id").cast("long")
-    ids = target_ids.filter("doc_id IS NOT NULL").select(own.alias("target_id")).distinct().orderBy(F.xxhash64("target_id")).limit(max_target)
-    ids = F.broadcast(ids.withColumn("target", F.lit(True)))  # max_target rows
-    read = docs.select(own.alias("doc_id"), text_or_empty().alias("text")).join(ids, F.col("doc_id") == F.col("target_id"), "left")
-    read = read.select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
-    shared = docs.sparkSession.sparkContext.broadcast(fit(read, rare))
-    scored = read.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, n_tokens long, target_loss double, background_loss double")
+    ids = target_ids.filter("doc_id IS NOT NULL").select(own.alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id")).limit(max_target)
+    texts = docs.select(own.alias("doc_id"), text_or_empty().alias("text"))
+    losses, least = fit(texts, materialise(texts.join(ids, "doc_id", "left_semi").select("text"), "lm-target"))
+    v, w, t, b = sorted_table(losses.filter(F.col("n") >= least), "v", "w", "t", "b")  # NEAR_PAIRS rows
+    keys = _key(v, w)
+    order = np.argsort(keys)
+    shared = docs.sparkSession.sparkContext.broadcast((keys[order], t[order], b[order]))
+    read = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        _read(shared), "row long, v long, w long, doc_id long, n_tokens long, t long, b long"
+    )
+    # A row's own line has no bigram; its key only spreads such lines.
+    key = F.when(F.col("v").isNotNull(), F.xxhash64("v", "w")).otherwise(F.xxhash64("row", F.lit("row"))).alias("key")
+    far = losses.filter(F.col("n") < least).select(F.xxhash64("v", "w").alias("key"), F.col("t").alias("far_t"), F.col("b").alias("far_b"))
+    joined = read.select("row", key, "doc_id", "n_tokens", "t", "b").join(far, "key", "left")
+    sums = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("n_tokens").alias("n_tokens"),
+        *(F.sum(F.coalesce(x, f"far_{x}", F.lit(0))).alias(x) for x in "tb"),
+    )
+    mean = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) * UNIT / F.col("n_tokens"))
+    scored = sums.select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
     return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
