@@ -1,7 +1,7 @@
 """Cross-entropy difference of two matched n-gram models.
 
 Target and background model are bigram models over one vocabulary, estimated alike (interpolated, absolute discount).
-The background counts are gathered from every document, the target counts from the documents named as target. Every
+The background counts are gathered from every document, the target counts from every document named as target. Every
 word is in the vocabulary and every bigram that occurs has its entry, however rare it is and however large the corpus.
 
 The count tables grow with the corpus and are never held by a task. Bigrams are sharded by their words, and those of
@@ -138,16 +138,16 @@ def fit(texts: DataFrame, target_texts: DataFrame) -> tuple[DataFrame, int]:
     return priced.select("v", "w", "n", loss("t", "target").alias("t"), loss("b", "n").alias("b")), _least(pairs, "n", NEAR_PAIRS)
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, max_target: int = 20_000) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score.
 
     The losses are -log P per word, ``score`` is target_loss - background_loss: the lower, the more a document is like
-    the target. ``target_ids`` (doc_id) names target documents; ``max_target`` of them are used. Null and empty texts
+    the target. ``target_ids`` (doc_id) names the target documents, all of which are counted. Null and empty texts
     have no words, null losses and a null score; null ids in ``target_ids`` are ignored; repeated rows keep a row each;
     further columns are ignored.
     """
     own = F.col("doc_id").cast("long")
-    ids = target_ids.filter("doc_id IS NOT NULL").select(own.alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id")).limit(max_target)
+    ids = target_ids.filter("doc_id IS NOT NULL").select(own.alias("doc_id")).distinct()
     texts = docs.select(own.alias("doc_id"), text_or_empty().alias("text"))
     losses, least = fit(texts, materialise(texts.join(ids, "doc_id", "left_semi").select("text"), "lm-target"))
     v, w, t, b = sorted_table(losses.filter(F.col("n") >= least), "v", "w", "t", "b")  # NEAR_PAIRS rows

@@ -47,3 +47,9 @@ def test_every_word_and_bigram_is_in_the_models(spark, monkeypatch, near):
     for i, (t, b) in enumerate(zip(brute_losses(texts, chosen), brute_losses(texts, range(len(texts))))):
         assert got[i].target_loss == (t if t is None else pytest.approx(t, abs=1e-6))
         assert got[i].background_loss == (b if b is None else pytest.approx(b, abs=1e-6))
+
+
+def test_every_target_document_is_counted(spark):
+    docs = table(spark, [f"w{i}" for i in range(20_050)])
+    scores = lm_score.cross_entropy_difference(docs, docs.select("doc_id"))
+    assert scores.count() == 20_050 and scores.filter("score <> 0").count() == 0
