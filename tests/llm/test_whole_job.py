@@ -4,10 +4,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveframe.llm import lm_score
+from sieveframe.llm import common, lm_score, quality
 
 from test_operators import table, words
 
@@ -53,3 +54,14 @@ def test_every_target_document_is_counted(spark):
     docs = table(spark, [f"w{i}" for i in range(20_050)])
     scores = lm_score.cross_entropy_difference(docs, docs.select("doc_id"))
     assert scores.count() == 20_050 and scores.filter("score <> 0").count() == 0
+
+
+def test_ngrams_met_once_are_in_the_quality_model(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(25)) for _ in range(40)]
+    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"), min_count=1)
+    numbers = quality.numbering(model.vocabulary)
+    u, v, w = quality._contexts([quality.tokens_of(numbers, t.encode()) for t in texts])
+    for keys, found in ((u << 2 * quality.BITS | v << quality.BITS | w, model.three[0]), (v << quality.BITS | w, model.two[0])):
+        kinds, n = np.unique(keys, return_counts=True)
+        assert (n == 1).any() and np.array_equal(kinds, found)
