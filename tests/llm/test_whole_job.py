@@ -65,3 +65,16 @@ def test_ngrams_met_once_are_in_the_quality_model(spark):
     for keys, found in ((u << 2 * quality.BITS | v << quality.BITS | w, model.three[0]), (v << quality.BITS | w, model.two[0])):
         kinds, n = np.unique(keys, return_counts=True)
         assert (n == 1).any() and np.array_equal(kinds, found)
+
+
+def test_small_languages_have_their_own_threshold(spark):
+    rng = random.Random(6)
+    say = lambda nouns, n: [" ".join(f"the {rng.choice(nouns)} {rng.choice(nouns)}" for _ in range(12)) for _ in range(n)]
+    texts = say(["house", "tree"], 200) + say([f"wort{i}" for i in range(200)], 40) + say(["casa", "rio"], 5)
+    docs = table(spark, texts, lang=F.when(F.col("doc_id") < 200, "en").when(F.col("doc_id") < 240, "de").otherwise("es"))
+    labels = spark.createDataFrame([(i, True) for i in range(240)], "doc_id long, trusted boolean")
+    got = quality.classify(common.placed(docs), labels).collect()
+    aside = {r.doc_id for r in docs.filter("doc_id < 240 AND pmod(xxhash64(doc_id), 1000) < 300").collect()}
+    most = {x: max(r.score for r in got if r.doc_id in aside and r.lang == x) for x in ("en", "de")}
+    assert {(r.lang, r.threshold) for r in got if r.lang != "es"} == set(most.items())
+    assert len({r.threshold for r in got if r.lang == "es"}) == 1
