@@ -1,7 +1,9 @@
 """URL filtering by list rules and by association rules that FP-growth mines from labelled pages.
 
 A url becomes a set of tokens. FP-growth finds token sets that are frequent among the pages labelled bad; their
-confidence is counted over all labelled pages, and sets below the support or confidence are pruned. List rules and
+confidence is counted over all labelled pages, and sets below the support or confidence are pruned. The support is a
+number of pages, the same at every size of the input, and sets may have any number of tokens; a set is redundant, and
+pruned, where one with a token less has the same confidence or more, as that one fits wherever it does. List rules and
 mined rules share one inverted index: each is filed under one token (a list rule under its host, a mined rule under
 its rarest token), pages look their tokens up in it, and candidates are verified in full.
 """
@@ -66,16 +68,18 @@ def _matches(pages: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
-def mine_rules(pages: DataFrame, min_support: float = 0.02, min_pages: int = 20, min_confidence: float = 0.9, max_items: int = 4) -> DataFrame:
+def mine_rules(pages: DataFrame, min_pages: int = 5, min_confidence: float = 0.9) -> DataFrame:
     """Rules (items, filed, support, confidence) from ``pages`` (row, path, tokens, bad).
 
-    Support is the share of the bad pages with all the items (at least ``min_pages`` of them as well), confidence the
-    share of bad ones among all labelled pages with the items.
+    Support is the number of bad pages with all the items, at least ``min_pages``; confidence the share of bad ones
+    among all labelled pages with the items.
     """
     labelled = materialise(pages.filter("bad IS NOT NULL").select("row", "path", "tokens", "bad"), "url-labelled")
     bad = labelled.filter("bad").select(F.col("tokens").alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(bad).freqItemsets
-    sets = sets.filter((F.col("freq") >= min_pages) & (F.size("items") <= max_items)).select(F.array_sort("items").alias("items"), "freq")
+    # Half a page less, so that rounding of the share can't lose a set.
+    share = min(max((min_pages - 0.5) / max(bad.count(), 1), 0.0), 1.0)
+    sets = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(bad).freqItemsets
+    sets = sets.filter(F.col("freq") >= min_pages).select(F.array_sort("items").alias("items"), "freq")
     # Each set is filed under its rarest token.
     frequency = labelled.select(F.explode("tokens").alias("item")).groupBy("item").agg(F.count("*").alias("pages"))
     filed = (
@@ -92,7 +96,13 @@ def mine_rules(pages: DataFrame, min_support: float = 0.02, min_pages: int = 20,
         .agg(F.count("*").alias("pages"))
         .withColumnRenamed("rule_items", "items")
     )
-    return filed.join(totals, "items").withColumn("confidence", F.col("support") / F.col("pages")).filter(F.col("confidence") >= min_confidence).select("items", "filed", "support", "confidence")
+    sure = filed.join(totals, "items").withColumn("confidence", F.col("support") / F.col("pages")).filter(F.col("confidence") >= min_confidence)
+    sure = materialise(sure.select("items", "filed", "support", "confidence"), "url-sure")
+    # Each set beside those with a token less.
+    fewer = sure.select("items", "confidence", F.explode("items").alias("item")).withColumn("fewer", F.array_except("items", F.array("item")))
+    parts = sure.select(F.col("items").alias("fewer"), F.col("confidence").alias("had"))
+    redundant = fewer.join(parts, "fewer").filter(F.col("had") >= F.col("confidence")).select("items").distinct()
+    return sure.join(redundant, "items", "left_anti")
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame | None = None, **mining) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveframe.llm import common, lm_score, quality
+from sieveframe.llm import common, lm_score, quality, url_rules
 
 from test_operators import table, words
 
@@ -78,3 +78,14 @@ def test_small_languages_have_their_own_threshold(spark):
     most = {x: max(r.score for r in got if r.doc_id in aside and r.lang == x) for x in ("en", "de")}
     assert {(r.lang, r.threshold) for r in got if r.lang != "es"} == set(most.items())
     assert len({r.threshold for r in got if r.lang == "es"}) == 1
+
+
+def test_rare_hosts_and_long_sets_become_rules(spark):
+    # Two of 1,006 bad pages in a hundred are more than any rare host has; the five words are bad only together.
+    bad = [f"http://h{chr(97 + i // 26)}{chr(97 + i % 26)}.example.net/x" for i in range(100) for _ in range(10)] + ["http://s.example.net/a/b/c/d/e"] * 6
+    fine = ["http://s.example.net/" + "/".join(x for x in "abcde" if x != y) for y in "abcde" for _ in range(20)] + ["http://other.example.net/x"] * 400
+    urls = bad + fine
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, i < len(bad)) for i in range(len(urls))], "page_id long, bad boolean")
+    rows = url_rules.judge_urls(pages, [("allow", "nowhere.example", "/")], labels).collect()
+    assert all((r.verdict == "block") == (r.page_id < len(bad)) for r in rows)
