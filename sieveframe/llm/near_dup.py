@@ -1,4 +1,7 @@
-"""Exact n-gram Jaccard join and its components, as a metric-space join with pivots.
+"""Exact n-gram Jaccard join and its components, by prefix filtering.
+
+This replaces the Voronoi regions of document pivots and their boundary windows: no document is assigned to the nearest
+of several pivots, and none is replicated by a triangle-inequality window.
 
 Jaccard distance is a metric, but nearly all pairs of documents are at distance 1, where document pivots separate
 nothing. So the first pivots are single shingles. A document's region is that of its first shingle in one global order
