@@ -1,7 +1,8 @@
 """License scan by a positional index of rare words.
 
-Template words are posted with their positions. For each file the licence words with the highest IDF (counted over
-all files) are looked up; postings that agree on the relative position of file and template are intersected, and a
+Template words are posted with their positions. The words of each template's mandatory phrase with the highest IDF
+(counted over all files) are chosen once for the template, the same for every file, and looked up in the files; as the
+whole phrase is required, no match is lost by this; postings that agree on the relative position of file and template are intersected, and a
 candidate counts only where the template's mandatory phrase stands at that very place.
 """
 
