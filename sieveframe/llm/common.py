@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -22,11 +24,19 @@ _own_scratch: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where it is unset (tests), a folder of this process."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the context's checkpoint directory.
+
+    Where neither is set, a folder of this process if Spark runs in it alone (tests), and an error on a cluster.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir")
+    own = context._jsc.sc().getCheckpointDir()
+    if not found and own.isDefined():
+        found = own.get()
+    if not found and re.match(r"local(\[|$)", context.master):
+        found = _own_scratch.setdefault(context.applicationId, tempfile.mkdtemp(prefix="sieveframe-"))
     if not found:
-        app = spark.sparkContext.applicationId
-        found = _own_scratch.setdefault(app, tempfile.mkdtemp(prefix="sieveframe-"))
+        raise RuntimeError("no folder that executors share: set spark.checkpoint.dir")
     return found.rstrip("/")
 
 
@@ -91,12 +101,30 @@ def list_column(lengths, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), values)
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``place``, the file and row number of each row; what isn't a plain file scan is written first."""
-    if "place" in {c.lower() for c in docs.columns}:
-        raise ValueError("the column name place is taken")
+#: The columns that operators on documents read.
+READ = ("doc_id", "text", "lang")
+
+
+def _located(docs: DataFrame, name: str) -> DataFrame:
     place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
     try:
-        return docs.withColumn("place", place)
+        return docs.withColumn(name, place)
     except AnalysisException:
-        return materialise(docs, "located").withColumn("place", place)
+        return materialise(docs, "located").withColumn(name, place)
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """Those columns of ``docs`` which operators read, and ``place``, the file and row number of each row.
+
+    What isn't a plain file scan is written first.
+    """
+    return _located(docs.select(*(c for c in docs.columns if c.lower() in READ)), "place")
+
+
+def without(docs: DataFrame, found: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``docs`` without the rows whose ``place`` is in ``found`` of its placed() form; all its columns as they are."""
+    own = free_name(docs, "place")
+    located = _located(docs, own)
+    slim = located.select(*(c for c in docs.columns if c.lower() in READ), F.col(own).alias("place"))
+    gone = materialise(found(slim).select(F.col("place").alias(own)), name)
+    return located.join(gone, own, "left_anti").select(*docs.columns)

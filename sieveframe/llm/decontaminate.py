@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD_BYTES, byte_values, materialise, placed
+from .common import WORD_BYTES, byte_values, without
 
 WORD = re.compile(rb"[^ ]+")
 #: A benchmark of more bytes than this is scanned for shard by shard; every shard's automaton fits a worker.
@@ -159,10 +159,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated rows; all its columns as they are."""
-    columns = docs.columns
-    located = placed(docs)
-    gone = materialise(decontaminate(located, benchmark, **options).filter("contaminated").select("place"), "contaminated")
-    return located.join(gone, "place", "left_anti").select(*columns)
+    return without(docs, lambda located: decontaminate(located, benchmark, **options).filter("contaminated"), "contaminated")
 
 
 def original_spans(text: str, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:

@@ -13,7 +13,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WHITE, forget, materialise, placed, scratch_path, text_or_empty
+from .common import WHITE, forget, materialise, placed, scratch_path, text_or_empty, without
 
 STATE = "digest binary, keep_id long, locator string, arrivals long"
 #: A row with a null identifier is ordered after all others.
@@ -143,7 +143,4 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text a row that stays has; all its columns as they are."""
-    columns = docs.columns
-    located = placed(docs)
-    gone = materialise(dedup_rows(located).filter("NOT kept").select("place"), "dedup-gone")
-    return located.join(gone, "place", "left_anti").select(*columns)
+    return without(docs, lambda located: dedup_rows(located).filter("NOT kept"), "dedup-gone")

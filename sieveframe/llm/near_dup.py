@@ -1,20 +1,27 @@
-"""Exact n-gram Jaccard join and its components, by prefix filtering.
-
-This replaces the Voronoi regions of document pivots and their boundary windows: no document is assigned to the nearest
-of several pivots, and none is replicated by a triangle-inequality window.
-
-Jaccard distance is a metric, but nearly all pairs of documents are at distance 1, where document pivots separate
-nothing. So the first pivots are single shingles. A document's region is that of its first shingle in one global order
-(rare shingles before frequent ones); as two linked documents differ in at most a quarter of their shingles, each is
-replicated to the regions of its first ``n - ceil(0.75 n) + 1`` shingles, the boundary within which every partner
-has to show up. Regions with the same members count once. Inside a region a document is the pivot: distances to it
-are computed exactly, documents within the threshold join its class, and regions of one class are finished. The rest
-joins recursively: the pivot leaves the region, a new one is taken, and the pairs that remain at the end must fit the
-triangle-inequality window of their distances to the last pivot and the window of sizes. Nothing is sampled and no
-region is capped; frequencies steer only the order.
-
-Documents with equal shingle sets are one node from the start, so copies are never expanded. Shingles are told apart
-by 64-bit hashes, sets by a 64-bit sum of such hashes.
+"""Exact n-gram Jaccard join in the metric space of shingle sets, and its components.
+
+Documents with equal shingle sets are one node. The join then goes from regions to links:
+
+1. **Document frequencies.** The shingles of a chunk of documents are sorted once and dealt by their hash; equal ones
+   are counted over all documents, and only shingles of two documents or more return to their chunk. What no other
+   document has cannot be shared, so a document is left with its other shingles and the size of its whole set; it stands
+   alone at once if fewer than 75 % are left.
+2. **Pivots.** Two linked documents share one of their first few shingles in the order of frequency (the prefix bound:
+   ``n - ceil(0.75 n) + 1`` of them, and ``n - ceil(6 n / 7) + 1`` for the smaller of the two). The most central document
+   that has such a shingle, the one whose shingles are the most frequent, is a pivot for the others that have it.
+3. **Voronoi regions.** A document goes to the pivot with which it shares most of these shingles, if they may be linked
+   at all, and its exact distance to it is computed: within the threshold it is of the pivot's class. With all other
+   pivots it shares fewer, so this is the nearest pivot as far as the prefix shows; pairs of documents at distance 1
+   from each other, which are nearly all, are never looked at.
+4. **Boundary windows.** A document is replicated to the region of another class with whose documents it shares a
+   shingle within the prefix bound and whose sizes allow a link.
+5. **Recursion.** A region is joined where it lies: large ones are split into Voronoi cells around pivots of their own,
+   recursively, and a document visits the cells within the windows of the triangle inequality (regions.py). Regions of
+   one class that nobody visits need no join.
+
+Which pivot a document has decides the cost and never the result, so the regions of very many documents are dealt into
+parts. Nothing is sampled, no region is capped and no list of pairs is made. Shingles are told apart by 64-bit hashes,
+whole sets by 128 bits and their size.
 """
 
 from __future__ import annotations
@@ -23,32 +30,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
-from xxhash import xxh3_64_intdigest
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER_BYTES, byte_values, forget, materialise, placed
+from .common import LOWER_BYTES, byte_values, forget, materialise, placed, without
 from .graph import components
+from .regions import LEAF, Region, shared_with
 
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Shingles of a chunk that are counted together; a shingle is frequent if OFTEN documents of a chunk have it.
-CHUNK = 3_000_000
-OFTEN = 3
-#: Frequent shingles that get their own place in the order. The order decides the cost, never the result.
-ORDERED = 1 << 18
-#: Bits of the filter that keeps documents without any company from the exchange of sets.
-FILTER_WORDS = 1 << 20
-#: Rounds with one pivot per region before the pairs that are left are listed, or fewer: as soon as they are at most
-#: LISTED for each row of the open regions, so that the list grows with the input and not with its square.
-ROUNDS = 8
-LISTED = 32
-#: Regions of more members have pivots first; the pairs of smaller ones are listed at once.
-LEAF = 8
+#: Shingles and documents of a chunk; a chunk ends with the document that reaches either.
+CHUNK, CHUNK_DOCS = 2_000_000, 60_000
+#: A shingle of so many documents of a chunk is counted there, and its documents stay with the chunk.
+OFTEN = 8
+#: Documents of a region before it is dealt into parts.
+CROWD = 20_000
 
 _MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64
 )
+#: Kinds of rows on the way through the first exchange.
+DOCUMENT, PART, FOUND, SIDE = range(4)
+ROW = "kind int, bucket int, chunk long, seq int, doc_id long, place string, hi long, lo long, n long, a binary, b binary, c binary, d binary, e binary"
+ROW_TYPES = {"kind": pa.int32(), "bucket": pa.int32(), "chunk": pa.int64(), "seq": pa.int32(), "doc_id": pa.int64(), "place": pa.string()}
+ROW_TYPES |= {c: pa.int64() for c in ("hi", "lo", "n")} | {c: pa.binary() for c in "abcde"}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,38 +69,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 class _WordHash(dict):
     """word -> 64-bit hash, kept for the words met lately."""
 
-    def __missing__(self, word: bytes, hashed=xxh3_64_intdigest) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = out = hashed(word)
-        return out
+    def __init__(self):
+        from xxhash import xxh3_64_intdigest
 
+        self.hashed = xxh3_64_intdigest
 
-_words = _WordHash()
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 250_000:
+            self.clear()
+        self[word] = out = self.hashed(word)
+        return out
 
 
-def word_hashes(text: bytes, piece: int = 4 << 20) -> np.ndarray:
+def word_hashes(words: _WordHash, text: bytes, piece: int = 4 << 20) -> np.ndarray:
     """The hashes of the words ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased, a piece of a long text at a time."""
-    parts, at, get = [], 0, _words.__getitem__
+    parts, at, get = [], 0, words.__getitem__
     while at < len(text):
         end = at + piece
         while end < len(text) and text[end] not in b" \t\n\v\f\r":
             end += 1
-        words = text[at:end].translate(LOWER_BYTES).split()
-        parts.append(np.fromiter(map(get, words), dtype=np.uint64, count=len(words)))
+        found = text[at:end].translate(LOWER_BYTES).split()
+        parts.append(np.fromiter(map(get, found), dtype=np.uint64, count=len(found)))
         at = end
     return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
-def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
+def shingle_set(words: _WordHash, text: bytes, size: int = WORDS) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles; fewer words make one shingle, none make none."""
     if not text:
         return np.zeros(0, dtype=np.uint64)
-    ids = word_hashes(text)
+    ids = word_hashes(words, text)
     n = len(ids)
     if n == 0:
         return ids
-    size = min(n, words)
+    size = min(n, size)
     total = np.full(n - size + 1, size, dtype=np.uint64)
     for k in range(size):
         total += ids[k : n - size + 1 + k] * _MULTIPLIERS[k % 5]
@@ -103,338 +111,399 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
     return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
-def signature(shingles: np.ndarray) -> int:
-    """A number for the set, as a signed 64-bit integer."""
-    return int((mix(shingles * _MULTIPLIERS[0]).sum(dtype=np.uint64) + np.uint64(len(shingles))).astype(np.int64))
+def signature(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits for the set, as two signed integers."""
+    return tuple(int(mix(shingles * _MULTIPLIERS[k] + _MULTIPLIERS[k + 2]).sum(dtype=np.uint64).astype(np.int64)) for k in (0, 1))
 
 
-def least_shared(n: np.ndarray | int):
+def least_shared(n):
     """The fewest shingles that a set of n shares with any partner."""
     return -(-PERCENT * n // 100)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 400):
-            batch = whole.slice(at, 400)
-            yield batch, [shingle_set(x) for x in byte_values(batch.column("text"))]
-    _words.clear()  # an idle worker holds no memory
-
-
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
-
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document (frequent is null), and a row per shingle that is frequent in a chunk of documents."""
-    held: dict[int, np.ndarray] = {}
-    size = 0
-
-    def counted() -> pa.RecordBatch:
-        found, count = np.unique(np.concatenate([*held.values(), np.zeros(0, dtype=np.uint64)]), return_counts=True)
-        often = count >= OFTEN
-        n = int(often.sum())
-        none = pa.nulls(n, pa.string())
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(n, pa.int64()), none, _signed(found[often]), pa.nulls(n, pa.int64()), pa.array(count[often].astype(np.int64))],
-            names=["doc_id", "place", "node", "n", "frequent"],
-        )
-
-    for batch, sets in _sets(batches):
-        nodes = [signature(x) if len(x) else None for x in sets]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                batch.column("place"),
-                pa.array(nodes, type=pa.int64()),
-                pa.array([len(x) for x in sets], type=pa.int64()),
-                pa.nulls(len(sets), pa.int64()),
-            ],
-            names=["doc_id", "place", "node", "n", "frequent"],
-        )
-        for node, shingles in zip(nodes, sets):
-            if node is not None and node not in held:
-                held[node] = shingles
-                size += len(shingles)
-        if size > CHUNK:
-            yield counted()
-            held.clear()
-            size = 0
-    yield counted()
-
-
-def _regions(shared):
-    """A row for each document and region it belongs to: shingle, salt, node, n."""
+def least_shared_with_larger(n):
+    """The fewest shingles that a set of n shares with a partner that is not smaller."""
+    return -(-2 * PERCENT * n // (100 + PERCENT))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, count = shared.value
-        rank = np.log2(count).astype(np.int64) + 1 if len(count) else count
-        seen: set[int] = set()
-        for _, sets in _sets(batches):
-            out: list[tuple[np.ndarray, np.ndarray, int, int]] = []
-            for shingles in sets:
-                n = len(shingles)
-                if not n or (node := signature(shingles)) in seen:
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(node)  # a copy of a document of this task adds nothing
-                first = n - least_shared(n) + 1
-                salt = np.zeros(n, dtype=np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, shingles), len(often) - 1)
-                    is_often = often[at] == shingles
-                    if is_often.any():
-                        order = np.argsort(np.where(is_often, rank[at], 0), kind="stable")
-                        parts = np.where(is_often, count[at] // 1000 + 1, 1)
-                        salt = ((node & 0x7FFFFFFF) % parts + is_often)[order]  # 0: not frequent
-                        shingles = shingles[order]
-                out.append((shingles[:first], salt[:first], node, n))
-            if out:
-                lengths = [len(x[0]) for x in out]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        _signed(np.concatenate([x[0] for x in out])),
-                        pa.array(np.concatenate([x[1] for x in out]).astype(np.int32)),
-                        pa.array(np.repeat(np.array([x[2] for x in out], dtype=np.int64), lengths)),
-                        pa.array(np.repeat(np.array([x[3] for x in out], dtype=np.int32), lengths)),
-                    ],
-                    names=["shingle", "salt", "node", "n"],
-                )
 
-    return run
+def _planes(x: np.ndarray) -> bytes:
+    """Sorted 64-bit integers, byte by byte, which compresses well."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _of_planes(x: bytes | None) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x or b"", dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _numbers(x: bytes | None, kind: str) -> np.ndarray:
+    return np.frombuffer(x or b"", dtype=kind)
+
 
+def _rows(count: int, **columns) -> pa.RecordBatch:
+    """``count`` rows; columns that are not given are null."""
+    arrays = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], type=t) if c in columns else pa.nulls(count, t) for c, t in ROW_TYPES.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(ROW_TYPES))
 
-def _wanted_sets(shared):
-    """(node, shingles) of the rows whose place passes the filter."""
+
+def _describe(buckets: int, most: int, often_from: int):
+    """A row per document, and the shingles of every chunk, dealt by hash into ``buckets``."""
+    edges = np.array([-(-(k << 64) // buckets) for k in range(1, buckets)], dtype=np.uint64)
+
+    def dealt(chunk: int, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        flat = np.concatenate(sets)
+        order = np.argsort(flat)
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])[order]
+        flat = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        counts = np.diff(np.append(first, len(flat)))
+        many = counts >= often_from
+        often, times = flat[first[many]], counts[many].astype("<u4")
+        inline = np.repeat(~many, counts)
+        flat, beside, owner = flat[inline], owner[~inline], owner[inline]
+        cut, often_cut = (np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in (flat, often))
+        spans = [(k, cut[k], cut[k + 1], often_cut[k], often_cut[k + 1]) for k in range(buckets)]
+        spans = [x for x in spans if x[1] < x[2] or x[3] < x[4]]
+        yield _rows(
+            len(spans), kind=[PART] * len(spans), bucket=[x[0] for x in spans], chunk=[chunk] * len(spans),
+            a=[_planes(flat[i:j]) for _, i, j, _, _ in spans], b=[owner[i:j].astype("<u2").tobytes() for _, i, j, _, _ in spans],
+            d=[_planes(often[i:j]) for _, _, _, i, j in spans], e=[times[i:j].tobytes() for _, _, _, i, j in spans],
+        )
+        if len(often):
+            yield _rows(1, kind=[SIDE], bucket=[chunk % buckets], chunk=[chunk], a=[_planes(often)], b=[beside.astype("<u2").tobytes()], c=[times.tobytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        words, chunk, held, known, size = _WordHash(), TaskContext.get().partitionId() << 24, [], {}, 0
         for whole in batches:
-            at = whole.column("at").to_numpy().view(np.uint64)
-            passes = (bits[(at >> np.uint64(6)) % np.uint64(FILTER_WORDS)] >> (at & np.uint64(63))) & np.uint64(1)
-            chosen = whole.filter(pa.array(passes.astype(bool)))
-            for _, sets in _sets(iter([chosen])):
-                found = [x for x in sets if len(x)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([signature(x) for x in found], type=pa.int64()), pa.array([x.tobytes() for x in found], type=pa.binary())],
-                    names=["node", "shingles"],
-                )
+            for at in range(0, whole.num_rows, 400):
+                batch = whole.slice(at, 400)
+                chunks, seqs, names, ns = [], [], [], []
+                for text in byte_values(batch.column("text")):
+                    shingles = shingle_set(words, text)
+                    name = signature(shingles) if len(shingles) else (None, None)
+                    if len(shingles) and name not in known:
+                        known[name] = len(held)
+                        held.append(shingles)
+                        size += len(shingles)
+                    chunks.append(chunk)
+                    seqs.append(known.get(name))
+                    names.append(name)
+                    ns.append(len(shingles))
+                    if size >= most or len(held) >= CHUNK_DOCS:
+                        yield from dealt(chunk, held)
+                        chunk, held, known, size = chunk + 1, [], {}, 0
+                yield _rows(
+                    len(ns), kind=[DOCUMENT] * len(ns), bucket=[x % buckets for x in chunks], chunk=chunks, seq=seqs, n=ns,
+                    doc_id=batch.column("doc_id"), place=batch.column("place"), hi=[x[0] for x in names], lo=[x[1] for x in names],
+                )
+        if held:
+            yield from dealt(chunk, held)
 
     return run
 
 
-def _filter_bits(places: DataFrame) -> np.ndarray:
-    """A bit for each hash class of ``places`` (at), of fixed size whatever their number."""
-    where = F.pmod(F.shiftrightunsigned("at", 6), F.lit(FILTER_WORDS))
-    bit = F.expr("shiftleft(1L, cast(at & 63 AS int))")
-    bits = np.zeros(FILTER_WORDS, dtype=np.uint64)
-    for batch in places.select(where.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
-        bits[batch.column("at").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
-    return bits
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts the shingles of a partition over all chunks; every chunk gets those of two documents or more back."""
+    chunks, inline, owners, often, times = [], [], [], [], []
+    for batch in batches:
+        is_part = np.asarray(batch.column("kind")) == PART
+        if not is_part.all():
+            yield batch.filter(pa.array(~is_part))
+        parts = batch.filter(pa.array(is_part))
+        chunks += parts.column("chunk").to_pylist()
+        inline += map(_of_planes, parts.column("a").to_pylist())
+        owners += [_numbers(x, "<u2") for x in parts.column("b").to_pylist()]
+        often += map(_of_planes, parts.column("d").to_pylist())
+        times += [_numbers(x, "<u4") for x in parts.column("e").to_pylist()]
+    if not chunks:
+        return
+    source = np.concatenate([np.repeat(np.arange(len(chunks), dtype=np.uint32), [len(x) for x in xs]) for xs in (inline, often)])
+    single = sum(map(len, inline))
+    flat = np.concatenate([*inline, *often])
+    owner = np.concatenate([*owners, np.zeros(len(flat) - single, dtype=np.uint16)])
+    weight = np.concatenate([np.ones(single, dtype=np.int64), *(x.astype(np.int64) for x in times)])
+    del inline, owners, often, times
+    order = np.argsort(flat)
+    flat, weight = flat[order], weight[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    total = np.add.reduceat(weight, first)
+    counts = np.repeat(total, np.diff(np.append(first, len(flat))))
+    keep = counts >= 2
+    flat, counts, order = flat[keep], np.minimum(counts[keep], (1 << 32) - 1).astype("<u4"), order[keep]
+    kind = source[order].astype(np.int64) * 2 + (order >= single)  # by chunk, those kept beside it last
+    owner, by = owner[order], np.argsort(kind, kind="stable")
+    flat, counts, owner, kind = flat[by], counts[by], owner[by], kind[by]
+    cut = np.searchsorted(kind, np.arange(2 * len(chunks) + 1))
+    for at in range(0, len(chunks), 200):
+        some = [k for k in range(at, min(at + 200, len(chunks))) if cut[2 * k] < cut[2 * k + 2]]
+        one, two = [slice(cut[2 * k], cut[2 * k + 1]) for k in some], [slice(cut[2 * k + 1], cut[2 * k + 2]) for k in some]
+        yield _rows(
+            len(some), kind=[FOUND] * len(some), chunk=[chunks[k] for k in some],
+            a=[_planes(flat[s]) for s in one], b=[owner[s].tobytes() for s in one], c=[counts[s].tobytes() for s in one],
+            d=[_planes(flat[s]) for s in two], e=[counts[s].tobytes() for s in two],
+        )
+
+
+ACTIVE = "node long, n int, center double, shingles binary"
+
+
+def _assemble(table: pa.Table) -> pa.Table:
+    """The documents of a chunk that may have partners: shingles that others have too, rarest first."""
+    chunk = table.column("chunk")[0].as_py()
+    rows = {k: table.filter(pa.array(np.asarray(table.column("kind")) == k)).to_pylist() for k in (FOUND, SIDE)}
+    docs = table.filter(pa.array(np.asarray(table.column("kind")) == DOCUMENT))
+    seq, n = docs.column("seq").drop_null().to_numpy(), docs.filter(docs.column("seq").is_valid()).column("n").to_numpy()
+    sizes = np.zeros(int(seq.max()) + 1 if len(seq) else 0, dtype=np.int64)
+    sizes[seq] = n
+    flat = [_of_planes(x["a"]) for x in rows[FOUND]]
+    owner = [_numbers(x["b"], "<u2") for x in rows[FOUND]]
+    count = [_numbers(x["c"], "<u4") for x in rows[FOUND]]
+    often = np.concatenate([np.zeros(0, dtype=np.uint64), *(_of_planes(x["d"]) for x in rows[FOUND])])
+    times = np.concatenate([np.zeros(0, dtype="<u4"), *(_numbers(x["e"], "<u4") for x in rows[FOUND])])
+    order = np.argsort(often)
+    often, times = often[order], times[order]
+    for x in rows[SIDE]:
+        shingles, lengths = _of_planes(x["a"]), _numbers(x["c"], "<u4")
+        flat.append(np.repeat(shingles, lengths))
+        owner.append(_numbers(x["b"], "<u2"))
+        count.append(np.repeat(times[np.searchsorted(often, shingles)], lengths))
+    flat = np.concatenate([np.zeros(0, dtype=np.uint64), *flat])
+    owner = np.concatenate([np.zeros(0, dtype=np.uint16), *owner]).astype(np.int64)
+    count = np.concatenate([np.zeros(0, dtype="<u4"), *count])
+    held = np.bincount(owner, minlength=len(sizes))
+    active = (held >= least_shared(sizes)) & (sizes > 0)
+    keep = active[owner]
+    flat, owner, count = flat[keep], owner[keep], count[keep]
+    order = np.lexsort((flat, count, owner))
+    flat, owner, count = flat[order], owner[order], count[order]
+    chosen = np.flatnonzero(active)
+    cut = np.searchsorted(owner, np.append(chosen, len(sizes)))
+    center = np.bincount(owner, weights=np.log2(count), minlength=len(sizes))[chosen] / np.maximum(sizes[chosen], 1)
+    return pa.table(
+        {
+            "node": pa.array((chunk << 16) + chosen, type=pa.int64()),
+            "n": pa.array(sizes[chosen], type=pa.int32()),
+            "center": pa.array(center, type=pa.float64()),
+            "shingles": pa.array([flat[a:b].astype("<u8").tobytes() for a, b in zip(cut, cut[1:])], type=pa.binary()),
+        }
+    )
 
 
-def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per shingle of each document's prefix; small: also where a partner is not smaller."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            sets = [_numbers(x, "<u8") for x in batch.column("shingles").to_pylist()]
+            n = batch.column("n").to_numpy().astype(np.int64)
+            alone = n - np.array([len(x) for x in sets], dtype=np.int64)  # these come first in the order
+            length = np.maximum(n - least_shared(n) + 1 - alone, 0)
+            small = np.maximum(n - least_shared_with_larger(n) + 1 - alone, 0)
+            place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([np.zeros(0, dtype="<u8"), *(x[:k] for x, k in zip(sets, length))]).view(np.int64)),
+                    *(pa.array(np.repeat(batch.column(c).to_numpy(), length)) for c in ("node", "n", "center")),
+                    pa.array(place < np.repeat(small, length)),
+                ],
+                names=["shingle", "node", "n", "center", "small"],
+            )
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shared = []
-        for a, b in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-            x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            shared.append(int((y[at] == x).sum()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(shared, type=pa.int64())], names=["a", "b", "na", "nb", "shared"])
+        shared = [shared_with(*(np.sort(_numbers(x, "<u8")) for x in p)) for p in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "cell", "n", "m")), pa.array(shared, type=pa.int64())], names=["node", "cell", "n", "m", "shared"])
+
+
+class _Classes(dict):
+    """Classes joined so far, by their first name."""
+
+    def root(self, x: int) -> int:
+        while (above := self.get(x, x)) != x:
+            self[x] = x = self.get(above, above)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _join(leaf: int):
+    return lambda batches: _joined(batches, leaf)
+
+
+def _joined(batches: Iterator[pa.RecordBatch], leaf: int) -> Iterator[pa.RecordBatch]:
+    """Links between classes, from rows in order of (cell, part, visitor); a region's own documents are held at once."""
+    key, homes, region, classes = None, [], None, _Classes()
 
+    def links(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        found = []
+        for name, n, shingles in rows:
+            for y in {homes[k][0] for k in region.partners(shingles, n).tolist()}:
+                if classes.join(name, y):
+                    found.append((name, y))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, distance, linked) of the distinct pairs (a, b, na, nb), by their whole sets."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-    found = both.mapInArrow(_intersect, "a long, b long, na int, nb int, shared long")
-    union = F.col("na") + F.col("nb") - F.col("shared")
-    return found.select("a", "b", (1 - F.col("shared") / union).alias("distance"), (100 * F.col("shared") >= PERCENT * union).alias("linked"))
+    def settle() -> pa.RecordBatch:
+        nonlocal region, classes
+        classes = _Classes()
+        region = Region([x[2] for x in homes], np.array([x[1] for x in homes]), PERCENT, leaf)
+        names = [x[0] for x in homes]
+        common = max(set(names), key=names.count)  # links within one class tell nothing new
+        return links([x for x in homes if x[0] != common])
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            keys = list(zip(batch.column("cell").to_pylist(), batch.column("part").to_pylist()))
+            rows = list(zip(batch.column("class").to_pylist(), batch.column("n").to_pylist(), (np.sort(_numbers(x, "<u8")) for x in batch.column("shingles").to_pylist())))
+            visitors = []
+            for this, visitor, row in zip(keys, batch.column("visitor").to_pylist(), rows):
+                if this != key:
+                    if visitors:
+                        yield links(visitors)
+                        visitors = []
+                    elif homes and region is None:
+                        yield settle()
+                    key, homes, region = this, [], None
+                if not visitor:
+                    homes.append(row)
+                    continue
+                if region is None:
+                    yield settle()
+                visitors.append(row)
+            if visitors:
+                yield links(visitors)
+    if homes and region is None:
+        yield settle()
 
 
 #: Sizes at which a link is possible at all.
 FIT = f"100L * least(na, nb) >= {PERCENT}L * greatest(na, nb)"
+#: Linked sets of na and nb shingles share at least s = ceil(PERCENT (na + nb) / (100 + PERCENT)), and at most n - s of a
+#: prefix are not shared: so many shingles at least are in both prefixes.
+_SHARED = f"cast(ceil({PERCENT}D * (na + nb) / {100 + PERCENT}D - 1e-9) AS long)"
+LEAST = "least({}, {})".format(*(f"1 - cast(ceil({PERCENT}D * {n} / 100D - 1e-9) AS long) + {_SHARED}" for n in ("na", "nb")))
+
 
+def _pivots(posted: DataFrame) -> DataFrame:
+    """(node, cell): the pivot of every document that has one, pivots being central documents themselves."""
+    top = F.col("top.node")
+    beside = posted.filter(F.col("node") != top).groupBy("node", top.alias("cell"), F.col("n").alias("na"), F.col("top.n").alias("nb")).agg(F.count("*").alias("k"), F.max("top.center").alias("center"))
+    nearest = beside.filter(f"{FIT} AND k >= {LEAST}").groupBy("node").agg(F.max(F.struct("k", "center", "cell")).alias("p")).select("node", F.col("p.cell").alias("cell"))
+    for _ in range(2):  # to the pivot's own pivot; how far does not matter for the result
+        nearest = materialise(nearest, "near-pivots")
+        above = nearest.select(F.col("node").alias("cell"), F.col("cell").alias("above"))
+        nearest = nearest.join(above, "cell", "left").select("node", F.coalesce("above", "cell").alias("cell"))
+    return nearest
+
+
+def _regions(posted: DataFrame, active: DataFrame, crowd: int) -> DataFrame:
+    """(node, cell, part, class, size) of every document with a posted shingle."""
+    sets = active.select("node", "n", "shingles")
+    pairs = _pivots(posted).join(sets.withColumnRenamed("shingles", "own"), "node")
+    pairs = pairs.join(sets.select(F.col("node").alias("cell"), F.col("n").alias("m"), F.col("shingles").alias("other")), "cell")
+    away = pairs.select("node", "cell", "n", "m", "own", "other").mapInArrow(_measured, "node long, cell long, n int, m int, shared long")
+    away = away.withColumn("linked", F.expr(f"100L * shared >= {PERCENT}L * (n + m - shared)")).select("node", "cell", "linked")
+    own = posted.select("node").distinct().join(away, "node", "left").select("node", F.coalesce("cell", "node").alias("cell"), F.coalesce("linked", F.col("cell").isNull()).alias("linked"))
+    own = materialise(own, "near-regions")
+    sizes = own.groupBy("cell").agg(F.count("*").alias("size"))
+    parts = F.ceil(F.col("size") / crowd).cast("int")
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    return own.join(sizes, "cell").select(
+        "node",
+        "cell",
+        F.when(F.col("size") <= crowd, 0).when(F.col("linked"), part).otherwise(-1 - part).alias("part"),
+        F.when(F.col("linked"), F.col("cell")).otherwise(F.col("node")).alias("class"),
+        "size",
+    )
 
-def near_classes(docs: DataFrame) -> DataFrame:
+
+def _visits(posted: DataFrame, regions: DataFrame) -> DataFrame:
+    """(node, cell, part): the regions into whose windows a document reaches, for one direction of every pair of regions."""
+    held = posted.select("shingle", "node", "n", "small").join(regions, "node")
+    n, small = F.col("n"), F.when(F.col("small"), F.col("n"))
+    there = held.groupBy("shingle", F.col("cell").alias("to"), F.col("part").alias("to_part")).agg(
+        F.max("size").alias("to_size"),
+        F.min(n).alias("least"), F.max(n).alias("most"), F.min(small).alias("small_least"), F.max(small).alias("small_most"),
+        F.min("class").alias("one"), F.max("class").alias("other"),
+    )
+    named = lambda *names: F.struct(*(F.col(c).alias(k) for c, k in zip(names, "abc")))
+    up = f"(small AND most >= n AND {PERCENT}L * least <= 100L * n)"
+    down = f"(small_least <= n AND 100L * small_most >= {PERCENT}L * n)"
+    return (
+        held.join(there, "shingle")
+        .filter(named("to_size", "to", "to_part") > named("size", "cell", "part"))
+        .filter("NOT (one = class AND other = class)")
+        .filter(f"{up} OR {down}")
+        .select("node", "class", F.col("to").alias("cell"), F.col("to_part").alias("part"))
+        .distinct()
+    )
+
+
+def near_classes(docs: DataFrame, chunk: int = CHUNK, often: int = OFTEN, crowd: int = CROWD, leaf: int = LEAF) -> DataFrame:
     """One row per row of ``docs`` (which comes from placed()): doc_id, place, n_shingles, component_id, first.
 
     Reads doc_id and text and ignores further columns. component_id is the smallest doc_id that can be reached by
     links; ``first`` marks the one row of a class that stays (smallest doc_id, null last, then place). Null texts
     and texts without words have no shingles and stand alone; repeated rows share a class; an empty table gives none.
+    The options (see the constants of this module and LEAF) decide the cost, never the result.
     """
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "place", "text")
-    described = materialise(read.mapInArrow(_describe, "doc_id long, place string, node long, n long, frequent long"), "near-described")
-    own = described.filter("frequent IS NULL").drop("frequent")
-
-    often = described.filter("frequent IS NOT NULL").groupBy("node").agg(F.sum("frequent").alias("f")).orderBy(F.desc("f"), "node").limit(ORDERED).toArrow()
-    names, counts = often.column("node").to_numpy().view(np.uint64), often.column("f").to_numpy()
-    order = np.argsort(names)
-    shared = spark.sparkContext.broadcast((names[order], counts[order]))  # ORDERED entries at most
-
-    boundary = read.select("text").mapInArrow(_regions(shared), "shingle long, salt int, node long, n int")
-    whole = Window.partitionBy("shingle", "salt").orderBy("node")
-    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    regions = materialise(
-        boundary.select("*", F.first("node").over(every).alias("low"), F.last("node").over(every).alias("high"), F.lag("node").over(whole).alias("before"))
-        .filter("(low <> high OR salt > 0) AND NOT (node <=> before)")
-        .select("shingle", "node", "n"),
-        "near-regions",
-    )
-    alike = regions.groupBy("shingle").agg(
-        F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("sum"), F.min("node").alias("low"), F.max("node").alias("high")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = read.mapInArrow(_describe(2 * tasks, chunk, often), ROW).repartition(tasks, "bucket").mapInArrow(_frequent, ROW)
+    counted = materialise(counted, "near-counted")
+
+    described = counted.filter(f"kind = {DOCUMENT}").select("doc_id", "place", "n", "hi", "lo", (F.col("chunk") * 65536 + F.col("seq")).alias("id"))
+    # Documents with equal sets are one node, named after one of them.
+    names = materialise(described.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("id").alias("node")), "near-names")
+    own = materialise(described.join(names, ["hi", "lo", "n"], "left").select("doc_id", "place", "n", "node"), "near-own")
+    chunks = counted.select("kind", "chunk", "seq", "n", "a", "b", "c", "d", "e").groupBy("chunk").applyInArrow(_assemble, ACTIVE)
+    active = materialise(chunks.join(names.select("node"), "node", "left_semi"), "near-active")
+    forget(counted)
+    forget(names)
+
+    listed = active.select("node", "n", "center", "shingles").mapInArrow(_posted, "shingle long, node long, n int, center double, small boolean")
+    top = listed.groupBy("shingle").agg(F.max(F.struct("center", "node", "n")).alias("top"), F.count("*").alias("members")).filter("members > 1")
+    posted = materialise(listed.join(top.select("shingle", "top"), "shingle"), "near-posted")
+    regions = materialise(_regions(posted, active, crowd), "near-located")
+    visits = materialise(_visits(posted, regions), "near-visits")
+    forget(posted)
+
+    busy = regions.groupBy("cell", "part").agg(F.min("class").alias("one"), F.max("class").alias("other")).filter("one <> other").select("cell", "part")
+    busy = busy.unionByName(visits.select("cell", "part")).distinct()
+    columns = ("cell", "part", "visitor", "class", "node")
+    rows = regions.join(busy, ["cell", "part"]).withColumn("visitor", F.lit(False)).select(*columns)
+    rows = rows.unionByName(visits.withColumn("visitor", F.lit(True)).select(*columns)).join(active.select("node", "n", "shingles"), "node")
+    links = (
+        rows.drop("node").repartition(tasks, "cell", "part").sortWithinPartitions("cell", "part", "visitor").mapInArrow(_join(leaf), "a long, b long")
     )
-    kept = alike.filter("members > 1").groupBy("members", "sum", "low", "high").agg(F.min("shingle").alias("shingle"), F.count("*").alias("times"))
-    cells = materialise(regions.join(kept.select("shingle", "times", F.col("members").cast("int").alias("members")), "shingle"), "near-cells")
-    forget(regions)
+    roots = components(materialise(links, "near-links")).select(F.col("node").alias("class"), "root")
+    classes = regions.select("node", "class").join(roots, "class", "left").select("node", F.coalesce("root", "class").alias("class"))
 
-    roots = _classes(own, read, cells)
-    named = own.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node"))
-    named = materialise(named.select("doc_id", "place", "n", "class"), "near-named")
+    named = own.join(classes, "node", "left").select("doc_id", "place", "n", F.coalesce("class", "node").alias("class"))
+    named = materialise(named, "near-named")
+    for done in (own, active, regions, visits):
+        forget(done)
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)), "place")
     heads = named.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.min_by("place", order).alias("head"))
-    return (
-        named.join(heads, "class", "left")
-        .select(
-            "doc_id",
-            "place",
-            F.col("n").alias("n_shingles"),
-            F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-            (F.col("class").isNull() | (F.col("head") == F.col("place"))).alias("first"),
-        )
-    )
-
-
-class _Sets:
-    """Whole shingle sets, fetched from the texts for those documents only that some test needs."""
-
-    def __init__(self, own: DataFrame, read: DataFrame):
-        self.own, self.read, self.sets = own, read, None
-
-    def covering(self, pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        if self.sets is not None:
-            nodes = nodes.join(self.sets.select("node"), "node", "left_anti")
-        places = self.own.join(nodes, "node").groupBy("node").agg(F.min("place").alias("place"))
-        where = materialise(places.select("node", F.xxhash64("place").alias("at")), "near-places")
-        if where.limit(1).count():
-            bits = where.sparkSession.sparkContext.broadcast(_filter_bits(where))
-            found = self.read.select(F.xxhash64("place").alias("at"), "text").mapInArrow(_wanted_sets(bits), "node long, shingles binary")
-            more = materialise(found.join(where.select("node"), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
-            self.sets = more if self.sets is None else self.sets.unionByName(more)
-        return self.sets if self.sets is not None else where.select("node", F.lit(b"").alias("shingles"))
-
-
-def _classes(own: DataFrame, read: DataFrame, cells: DataFrame) -> DataFrame:
-    """(node, root) for the documents of ``cells`` (shingle, node, n, times, members)."""
-    crowded = F.when(F.col("members") > LEAF, F.col("times")).otherwise(0)
-    nodes = materialise(cells.groupBy("node").agg(F.sum("times").alias("met"), F.sum(crowded).alias("crowd")), "near-nodes")
-    cells = cells.join(nodes, "node").select("shingle", "node", "n", "times", "members", "met", "crowd")
-    small, open_cells = cells.filter(F.col("members") <= LEAF).drop("members"), cells.filter(F.col("members") > LEAF)
-    sets, nodes = _Sets(own, read), nodes.select("node")
-    edges, roots = None, nodes.withColumn("root", F.col("node"))
-
-    def join(pairs: DataFrame) -> DataFrame:
-        """Measure the pairs, and let the links among them join classes."""
-        nonlocal edges, roots
-        pairs = materialise(pairs.select("a", "b", "na", "nb").distinct(), "near-pairs")
-        measured = materialise(_measure(pairs, sets.covering(pairs)), "near-measured")
-        linked = measured.filter("linked").select("a", "b")
-        if linked.limit(1).count():
-            edges = linked if edges is None else edges.unionByName(linked)
-            roots = _rooted(nodes, edges)
-        return measured
-
-    # Crowded regions: pivot after pivot joins documents to its class and leaves, until what is left can be listed.
-    pairs = _listed(small)
-    for number in range(ROUNDS + 1):
-        open_cells = materialise(_open(open_cells, roots), "near-open")
-        rows, left = open_cells.agg(F.count("*"), F.sum(F.col("members").cast("double") - 1) / 2).first()
-        if not rows:
-            break
-        if number == ROUNDS or 0 < number and left <= LISTED * rows:
-            pairs = _listed(open_cells)
-            break
-        pivots = open_cells.groupBy("shingle").agg(F.max(F.struct("met", "node", "n", "root")).alias("p"))
-        beside = open_cells.drop("members", "distance").join(pivots, "shingle").filter("node <> p.node")
-        tried = (
-            beside.filter("root <> p.root")
-            .select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.least("met", "p.met").alias("most"))
-            .filter(f"{FIT} AND most >= {LEAST}")
-        )
-        columns = ("a", "b", "na", "nb")
-        measured = join(tried.select(*columns) if pairs is None else tried.select(*columns).unionByName(pairs.select(*columns)))
-        pairs = None
-        away = measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "distance")
-        open_cells = (
-            beside.withColumn("pivot", F.col("p.node"))
-            .join(away, ["pivot", "node"], "left")
-            .select("shingle", "node", "n", "times", "met", "crowd", "distance")
-        )
-    if pairs is not None:
-        join(pairs)
-    return roots
-
-
-def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return materialise(nodes.join(components(edges), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "near-roots")
-
-
-def _open(cells: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of the regions that still hold two classes, with class and number of members."""
-    rooted = cells.drop("root", "members").join(roots, "node")
-    several = (
-        rooted.groupBy("shingle")
-        .agg(F.min("root").alias("r"), F.max("root").alias("s"), F.count("*").cast("int").alias("members"))
-        .filter("r <> s")
-        .select("shingle", "members")
-    )
-    return rooted.join(several, "shingle")
-
-
-#: Linked sets of na and nb shingles share at least s = ceil(PERCENT (na + nb) / (100 + PERCENT)). Of the first p
-#: shingles of a set in the common order at most n - s are not shared, so both sets have the first
-#: min(pa - (na - s), pb - (nb - s)) of the shared shingles among their first ones.
-_SHARED = f"cast(ceil({PERCENT}D * (na + nb) / {100 + PERCENT}D - 1e-9) AS long)"
-LEAST = "least({}, {})".format(*(f"1 - cast(ceil({PERCENT}D * {n} / 100D - 1e-9) AS long) + {_SHARED}" for n in ("na", "nb")))
-
-
-def _listed(cells: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb) of each region that may be linked.
-
-    Windows: sizes at which a link is possible, other classes where classes are known, and distances to the region's
-    pivot that the triangle inequality allows where they are known. Then the shingles in whose regions the two met:
-    those counted here, and for two documents with regions that are not listed here at most the fewer of those.
-    """
-    distance = F.col("distance") if "distance" in cells.columns else F.lit(None).cast("double")
-    known = "root" in cells.columns
-    root = F.col("root") if known else F.col("node")
-    side = lambda x: [F.col("node").alias(x), F.col("n").alias(f"n{x}"), root.alias(f"r{x}"), distance.alias(f"d{x}"), F.col("met").alias(f"m{x}"), F.col("crowd").alias(f"c{x}")]
-    near = F.coalesce(F.abs(F.col("da") - F.col("db")) <= (100 - PERCENT) / 100 + 1e-9, F.lit(True))
-    pairs = (
-        cells.select("shingle", "times", *side("a"))
-        .join(cells.select("shingle", *side("b")), "shingle")
-        .filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
-        .filter(f"{FIT} AND least(ma, mb) >= {LEAST}")
+    return named.join(heads, "class", "left").select(
+        "doc_id",
+        "place",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        (F.col("class").isNull() | (F.col("head") == F.col("place"))).alias("first"),
     )
-    if known:  # pivots have left, so shared regions are not all here
-        return pairs.select("a", "b", "na", "nb").distinct()
-    met = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("here"), F.min(F.least("ca", "cb")).alias("elsewhere"))
-    return met.filter(f"here + elsewhere >= {LEAST}")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     """near_classes() of any table: doc_id, n_shingles, component_id."""
-    return near_classes(placed(docs)).select("doc_id", "n_shingles", "component_id")
+    return near_classes(placed(docs), **options).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each class; all its columns as they are."""
-    columns = docs.columns
-    located = placed(docs)
-    gone = materialise(near_classes(located).filter("NOT first").select("place"), "near-gone")
-    return located.join(gone, "place", "left_anti").select(*columns)
+    return without(docs, lambda located: near_classes(located, **options).filter("NOT first"), "near-gone")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sieveframe.llm import common, decontaminate, exact_dedup, licenses, lm_score, near_dup, packing, quality, sharding, token_file, tokens, url_rules
+from sieveframe.llm import common, decontaminate, exact_dedup, licenses, lm_score, near_dup, packing, quality, regions, sharding, token_file, tokens, url_rules
 from sieveframe.llm.graph import components
 
 pytest.importorskip("public_tokenizers")
@@ -268,16 +268,15 @@ def near_texts(rng):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_components(spark, monkeypatch, seed):
-    monkeypatch.setattr(near_dup, "LEAF", 3)
-    monkeypatch.setattr(near_dup, "LISTED", 1)
+@pytest.mark.parametrize("seed, leaf, often, crowd", [(1, 512, 8, 20_000), (2, 3, 2, 5), (3, 2, 3, 3)])
+def test_jaccard_components(spark, seed, leaf, often, crowd):
+    options = {"leaf": leaf, "often": often, "crowd": crowd, "chunk": 900}
     texts = near_texts(random.Random(seed))
     docs = table(spark, texts, node=F.lit(1), n=F.lit(2)).repartition(2)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.jaccard_components(docs).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.jaccard_components(docs, **options).collect()}
     expected = brute_components(texts)
     assert got == expected
-    kept = near_dup.keep_one(docs)
+    kept = near_dup.keep_one(docs, **options)
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in expected.values()}) and kept.columns == docs.columns
 
 
@@ -372,3 +371,27 @@ def test_cross_entropy_difference(spark):
 def test_folders_come_from_the_session(spark):
     assert common.shared_folder(spark) == common.shared_folder(spark)
     assert common.scratch_path(spark, "x") != common.scratch_path(spark, "x")
+
+
+@pytest.mark.parametrize("leaf", [2, 10, 1000])
+def test_partners_within_a_region(leaf):
+    rng = np.random.default_rng(leaf)
+    bases = [rng.choice(10**6, size=40, replace=False) for _ in range(6)]
+    sets = []
+    for _ in range(150):
+        x = bases[rng.integers(6)].copy()
+        k = rng.integers(0, 16)
+        x[:k] = rng.integers(0, 10**6, size=k)
+        sets.append(np.unique(x).astype(np.uint64))
+    sizes = np.array([len(x) + rng.integers(0, 4) for x in sets])
+    region = regions.Region(sets, sizes, 75, leaf)
+    for x, n in zip(sets, sizes):
+        shared = np.array([len(set(x.tolist()) & set(y.tolist())) for y in sets])
+        assert sorted(region.partners(x, int(n)).tolist()) == np.flatnonzero(100 * shared >= 75 * (sizes + n - shared)).tolist()
+
+
+@pytest.mark.parametrize("keep", [near_dup.keep_one, exact_dedup.keep_first])
+def test_columns_named_like_inner_ones(spark, keep):
+    docs = table(spark, ["a b", "a b", "c"], **{c: F.lit(c) for c in ("place", "node", "digest", "_place", "row", "n")})
+    kept = keep(docs)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} == {(i, t, "place", "node", "digest", "_place", "row", "n") for i, t in ((0, "a b"), (2, "c"))}
