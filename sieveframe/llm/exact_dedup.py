@@ -9,11 +9,9 @@ with the text at the locator, and texts that differ under one digest are grouped
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WHITE, forget, materialise, placed, scratch_path, text_or_empty, without
+from .common import WHITE, forget, materialise, placed, scratch_path, settings, text_or_empty, without
 
 STATE = "digest binary, keep_id long, locator string, arrivals long"
 #: A row with a null identifier is ordered after all others.
@@ -29,18 +27,6 @@ STORE = {
 }
 
 
-@contextmanager
-def _settings(spark: SparkSession, wanted: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def normalised(name: str = "text") -> Column:
     """The text with each run of ASCII white space as one space; null is empty."""
     return F.regexp_replace(text_or_empty(name), WHITE, " ")
@@ -94,7 +80,7 @@ def dedup_rows(docs: DataFrame, digest=lambda text: F.unhex(F.sha2(text, 256)),
     if per_batch:
         source = source.option("maxFilesPerTrigger", per_batch)
     arrivals = source.parquet(f"{root}/arrivals").select("digest", "id", F.col("place").alias("locator"))
-    with _settings(spark, STORE):
+    with settings(spark, STORE):
         query = update_index(arrivals, f"{root}/index", f"{root}/checkpoint")
         query.awaitTermination()
     state = materialise(latest(spark, f"{root}/index"), "dedup-state")

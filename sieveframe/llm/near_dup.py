@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import LOWER_BYTES, byte_values, forget, materialise, placed, without
+from .common import LOWER_BYTES, byte_values, forget, held, materialise, placed, trim, without
 from .graph import components
 from .regions import LEAF, Region, shared_with
 
@@ -41,7 +41,7 @@ WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Shingles and documents of a chunk; a chunk ends with the document that reaches either.
-CHUNK, CHUNK_DOCS = 2_000_000, 60_000
+CHUNK, CHUNK_DOCS = 1_000_000, 60_000
 #: A shingle of so many documents of a chunk is counted there, and its documents stay with the chunk.
 OFTEN = 8
 #: Documents of a region before it is dealt into parts.
@@ -172,7 +172,7 @@ def _describe(buckets: int, most: int, often_from: int):
             yield _rows(1, kind=[SIDE], bucket=[chunk % buckets], chunk=[chunk], a=[_planes(often)], b=[beside.astype("<u2").tobytes()], c=[times.tobytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, chunk, held, known, size = _WordHash(), TaskContext.get().partitionId() << 24, [], {}, 0
+        words, chunk, sets, known, size = held("near-words", _WordHash), TaskContext.get().partitionId() << 24, [], {}, 0
         for whole in batches:
             for at in range(0, whole.num_rows, 400):
                 batch = whole.slice(at, 400)
@@ -181,47 +181,55 @@ def _describe(buckets: int, most: int, often_from: int):
                     shingles = shingle_set(words, text)
                     name = signature(shingles) if len(shingles) else (None, None)
                     if len(shingles) and name not in known:
-                        known[name] = len(held)
-                        held.append(shingles)
+                        known[name] = len(sets)
+                        sets.append(shingles)
                         size += len(shingles)
                     chunks.append(chunk)
                     seqs.append(known.get(name))
                     names.append(name)
                     ns.append(len(shingles))
-                    if size >= most or len(held) >= CHUNK_DOCS:
-                        yield from dealt(chunk, held)
-                        chunk, held, known, size = chunk + 1, [], {}, 0
+                    if size >= most or len(sets) >= CHUNK_DOCS:
+                        yield from dealt(chunk, sets)
+                        chunk, sets, known, size = chunk + 1, [], {}, 0
                 yield _rows(
                     len(ns), kind=[DOCUMENT] * len(ns), bucket=[x % buckets for x in chunks], chunk=chunks, seq=seqs, n=ns,
                     doc_id=batch.column("doc_id"), place=batch.column("place"), hi=[x[0] for x in names], lo=[x[1] for x in names],
                 )
-        if held:
-            yield from dealt(chunk, held)
+        if sets:
+            yield from dealt(chunk, sets)
+        trim()
 
     return run
 
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts the shingles of a partition over all chunks; every chunk gets those of two documents or more back."""
-    chunks, inline, owners, often, times = [], [], [], [], []
+    """Counts the shingles of each bucket over all chunks, from rows in order of their bucket.
+
+    Every chunk gets back those of two documents or more.
+    """
+    bucket, parts = None, []
     for batch in batches:
         is_part = np.asarray(batch.column("kind")) == PART
         if not is_part.all():
             yield batch.filter(pa.array(~is_part))
-        parts = batch.filter(pa.array(is_part))
-        chunks += parts.column("chunk").to_pylist()
-        inline += map(_of_planes, parts.column("a").to_pylist())
-        owners += [_numbers(x, "<u2") for x in parts.column("b").to_pylist()]
-        often += map(_of_planes, parts.column("d").to_pylist())
-        times += [_numbers(x, "<u4") for x in parts.column("e").to_pylist()]
-    if not chunks:
+        for row in batch.filter(pa.array(is_part)).select(["bucket", "chunk", "a", "b", "d", "e"]).to_pylist():
+            if row["bucket"] != bucket:
+                yield from _counted(parts)
+                bucket, parts = row["bucket"], []
+            parts.append((row["chunk"], _of_planes(row["a"]), _numbers(row["b"], "<u2"), _of_planes(row["d"]), _numbers(row["e"], "<u4")))
+    yield from _counted(parts)
+    trim()
+
+
+def _counted(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if not parts:
         return
+    chunks, inline, owners, often, times = zip(*parts)
     source = np.concatenate([np.repeat(np.arange(len(chunks), dtype=np.uint32), [len(x) for x in xs]) for xs in (inline, often)])
     single = sum(map(len, inline))
     flat = np.concatenate([*inline, *often])
     owner = np.concatenate([*owners, np.zeros(len(flat) - single, dtype=np.uint16)])
     weight = np.concatenate([np.ones(single, dtype=np.int64), *(x.astype(np.int64) for x in times)])
-    del inline, owners, often, times
     order = np.argsort(flat)
     flat, weight = flat[order], weight[order]
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
@@ -454,8 +462,8 @@ def near_classes(docs: DataFrame, chunk: int = CHUNK, often: int = OFTEN, crowd:
     spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "place", "text")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = read.mapInArrow(_describe(2 * tasks, chunk, often), ROW).repartition(tasks, "bucket").mapInArrow(_frequent, ROW)
-    counted = materialise(counted, "near-counted")
+    dealt = read.mapInArrow(_describe(3 * tasks, chunk, often), ROW).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    counted = materialise(dealt.mapInArrow(_frequent, ROW), "near-counted")
 
     described = counted.filter(f"kind = {DOCUMENT}").select("doc_id", "place", "n", "hi", "lo", (F.col("chunk") * 65536 + F.col("seq")).alias("id"))
     # Documents with equal sets are one node, named after one of them.

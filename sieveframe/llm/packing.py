@@ -7,6 +7,7 @@ two. Sequences are numbered bucket by bucket, longest first, so a trainer can ta
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,9 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import tokens
-from .common import list_column, materialise, text_or_empty
+from .common import list_column, materialise, text_or_empty, trim
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, part int, bucket int, rank long, ids array<int>"
+PIECES = "doc_id long, start long, length long, doc_tokens long, part int, bucket int, rank long, ids_crc32 long, ids array<int>"
 
 
 def decompose(n: int, longest: int = 2048) -> list[int]:
@@ -43,10 +44,10 @@ def _cut(tokenizer: str, end_id: int, longest: int):
                     n, start = len(x) // 4, 0
                     for length in decompose(n, longest):
                         bucket = length.bit_length() - 1
-                        rows.append((doc, start, length, n, bucket, seen[bucket]))
+                        rows.append((doc, start, length, n, bucket, seen[bucket], zlib.crc32(memoryview(x)[4 * start : 4 * (start + length)])))
                         seen[bucket] += 1
                         start += length
-                docs, starts, lengths, totals, buckets, ranks = zip(*rows) if rows else ((),) * 6
+                docs, starts, lengths, totals, buckets, ranks, sums = zip(*rows) if rows else ((),) * 7
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
                 longs = [pa.array(x, type=pa.int64()) for x in (docs, starts, lengths, totals)]
                 yield pa.RecordBatch.from_arrays(
@@ -55,17 +56,19 @@ def _cut(tokenizer: str, end_id: int, longest: int):
                         pa.array(np.full(len(rows), part, dtype=np.int32)),
                         pa.array(buckets, type=pa.int32()),
                         pa.array(ranks, type=pa.int64()),
+                        pa.array(sums, type=pa.int64()),
                         list_column(np.array(lengths, dtype=np.int64), values),
                     ],
-                    names=["doc_id", "start", "length", "doc_tokens", "part", "bucket", "rank", "ids"],
+                    names=["doc_id", "start", "length", "doc_tokens", "part", "bucket", "rank", "ids_crc32", "ids"],
                 )
-        tokens.release(tokenizer)
+        trim()
 
     return run
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048) -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, bucket, sequence_id, offset, ids.
+    """One row per piece: doc_id, start, length, doc_tokens, bucket, sequence_id, offset, ids_crc32 (of the ids
+    as little-endian 32-bit integers), ids.
 
     Reads doc_id and text of ``docs`` and ignores further columns. Null and empty texts give the end id alone;
     repeated and null ids keep their rows; an empty table gives no piece. The pieces are written once to the shared
@@ -90,5 +93,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, longest: int =
         "bucket",
         (F.col("base") + F.col("rank")).alias("sequence_id"),
         F.lit(0).cast("long").alias("offset"),
+        "ids_crc32",
         "ids",
     )

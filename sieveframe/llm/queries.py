@@ -59,7 +59,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     packed = packing.pack_documents(docs, tokens.public_path("byte_bpe_50k.json"), end_id=1)
-    return token_file.with_ids_crc32(packed, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"])
+    return packed.drop("bucket", "ids")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

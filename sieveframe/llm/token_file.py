@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import tokens
-from .common import list_column, text_or_empty
+from .common import BATCHES, list_column, settings, text_or_empty, trim
 
 DATA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
@@ -47,7 +47,7 @@ def _encode(tokenizer: str, end_id: int):
                     ],
                     names=["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
-        tokens.release(tokenizer)
+        trim()
 
     return run
 
@@ -73,16 +73,16 @@ def write_token_file(
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
         .select("doc_id", "text")
     )
-    data = f"{path}/data"
-    (
-        ordered.mapInArrow(_encode(tokenizer, end_id), DATA)
-        .write.option("orc.bloom.filter.columns", "doc_id")
-        .option("orc.create.index", "true")
-        .option("orc.row.index.stride", str(index_stride))
-        .option("orc.stripe.size", str(stripe_bytes))
-        .orc(data)
-    )
-    spark = docs.sparkSession
+    data, spark = f"{path}/data", docs.sparkSession
+    with settings(spark, BATCHES):
+        (
+            ordered.mapInArrow(_encode(tokenizer, end_id), DATA)
+            .write.option("orc.bloom.filter.columns", "doc_id")
+            .option("orc.create.index", "true")
+            .option("orc.row.index.stride", str(index_stride))
+            .option("orc.stripe.size", str(stripe_bytes))
+            .orc(data)
+        )
     sums = spark.read.schema(DATA).orc(data).groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("docs"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per writing task, not per document
     (

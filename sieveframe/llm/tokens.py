@@ -10,11 +10,14 @@ generations of bounded size; a miss costs time, never a result.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 
+from .common import held
+
 #: White space and the rest; both kinds of tokenizer file are cut here.
 CHUNK = re.compile(r"\s*\S+|\s+")
 #: A text without this is cut at its spaces and line ends.
@@ -63,7 +66,7 @@ def chunk_of(key: str) -> str:
 class ChunkEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -104,7 +107,11 @@ class ChunkEncoder:
             end = found.end() if found else at
             if found and (end == len(key) or MARKS.fullmatch(key, end)):
                 # The line end, the letters and the marks are pre-tokens of their own.
-                ids = self._word(found[0], not at)
+                core = key[at:end]
+                name = core if not at or not self.spaced else "\0" + core
+                ids = young.get(name) or old.get(name)
+                if ids is None:
+                    ids = young[name] = self._word(core, not at)
                 if begin == "\n":
                     ids = self._part("\n") + ids
                 young[key] = ids + self._part(key[end:]) if end < len(key) else ids
@@ -130,34 +137,21 @@ class ChunkEncoder:
         return out
 
     def _known(self, keys: list[str]) -> bytes:
-        found = list(map(self.young.get, keys))
-        if None in found:
-            self._learn({k for k, v in zip(keys, found) if v is None})
-            found = list(map(self.young.get, keys))
-            if None in found:  # a new generation began
-                self._learn(set(keys))
-                found = list(map(self.young.get, keys))
-        return b"".join(found)
-
-
-_encoders: dict[str, ChunkEncoder] = {}
+        try:
+            return b"".join(map(self.young.__getitem__, keys))
+        except KeyError:
+            pass
+        young = self.young
+        self._learn({k for k in keys if k not in young})
+        if self.young is not young:  # a new generation began
+            self._learn(set(keys))
+        return b"".join(map(self.young.__getitem__, keys))
 
 
 def encoder(path: str) -> ChunkEncoder:
     """This worker's encoder for a tokenizer file."""
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
-
-
-def release(path: str) -> None:
-    """Forget the chunks met so far; called when a task ends, so that idle workers hold no memory."""
-    if path in _encoders:
-        held = _encoders[path]
-        held.young, held.old = {}, {}
+    return held(f"encoder {path}", lambda: ChunkEncoder(path))
 
 
 def public_path(name: str) -> str:

@@ -104,7 +104,7 @@ def test_packing(spark, odd):
     by_doc = defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
-        assert r.length == len(r.ids) == 1 << r.bucket and r.offset == 0
+        assert r.length == len(r.ids) == 1 << r.bucket and r.offset == 0 and r.ids_crc32 == crc(r.ids)
     for n, text in enumerate(ODD):
         ids = ids_of("byte_bpe_50k.json", text, 1)
         pieces = sorted(by_doc[n], key=lambda r: r.start)
