@@ -169,7 +169,7 @@ def _describe(buckets: int, most: int, often_from: int):
             d=[_planes(often[i:j]) for _, _, _, i, j in spans], e=[times[i:j].tobytes() for _, _, _, i, j in spans],
         )
         if len(often):
-            yield _rows(1, kind=[SIDE], bucket=[chunk % buckets], chunk=[chunk], a=[_planes(often)], b=[beside.astype("<u2").tobytes()], c=[times.tobytes()])
+            yield _rows(1, kind=[SIDE], bucket=[chunk * 2654435761 % buckets], chunk=[chunk], a=[_planes(often)], b=[beside.astype("<u2").tobytes()], c=[times.tobytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, chunk, sets, known, size = held("near-words", _WordHash), TaskContext.get().partitionId() << 24, [], {}, 0
@@ -192,7 +192,7 @@ def _describe(buckets: int, most: int, often_from: int):
                         yield from dealt(chunk, sets)
                         chunk, sets, known, size = chunk + 1, [], {}, 0
                 yield _rows(
-                    len(ns), kind=[DOCUMENT] * len(ns), bucket=[x % buckets for x in chunks], chunk=chunks, seq=seqs, n=ns,
+                    len(ns), kind=[DOCUMENT] * len(ns), bucket=[(x * 2654435761 + k) % buckets for k, x in enumerate(chunks)], chunk=chunks, seq=seqs, n=ns,
                     doc_id=batch.column("doc_id"), place=batch.column("place"), hi=[x[0] for x in names], lo=[x[1] for x in names],
                 )
         if sets:
