@@ -3,7 +3,8 @@
 A url becomes a set of tokens. FP-growth finds token sets that are frequent among the pages labelled bad; their
 confidence is counted over all labelled pages, and sets below the support or confidence are pruned. The support is a
 number of pages, the same at every size of the input, and sets may have any number of tokens; a set is redundant, and
-pruned, where one with a token less has the same confidence or more, as that one fits wherever it does. List rules and
+pruned, where one with a token less has the same confidence or more, as that one fits wherever it does. Tokens with
+the same pages are one item, so no set is mined twice under other names. List rules and
 mined rules share one inverted index: each is filed under one token (a list rule under its host, a mined rule under
 its rarest token), pages look their tokens up in it, and candidates are verified in full.
 """
@@ -68,20 +69,37 @@ def _matches(pages: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
+def _telling(labelled: DataFrame, min_pages: int) -> DataFrame:
+    """``labelled`` with ``items``, those of its tokens that can tell pages apart.
+
+    A token of every labelled page changes no support and no confidence, and of tokens that stand on the very same
+    pages one speaks for all, so neither is mined; tokens of fewer than ``min_pages`` bad pages are in no rule.
+    """
+    cover = [F.bit_xor(F.xxhash64("row", F.lit(k))) for k in (0, 1)]  # 128 bits for the set of pages
+    tokens = labelled.select("row", "bad", F.explode("tokens").alias("item"))
+    found = tokens.groupBy("item").agg(F.count("*").alias("pages"), F.count_if("bad").alias("bad_pages"), *(x.alias(f"c{k}") for k, x in enumerate(cover)))
+    (pages,) = labelled.agg(F.count("*")).first()
+    found = found.filter((F.col("bad_pages") >= min_pages) & (F.col("pages") < pages))
+    kept = materialise(found.groupBy("pages", "c0", "c1").agg(F.min("item").alias("item")).select("item"), "url-items")
+    items = tokens.join(kept, "item").groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return materialise(labelled.join(items, "row"), "url-labelled")
+
+
 def mine_rules(pages: DataFrame, min_pages: int = 5, min_confidence: float = 0.9) -> DataFrame:
-    """Rules (items, filed, support, confidence) from ``pages`` (row, path, tokens, bad).
+    """Rules (items, filed, support, pages, confidence) from ``pages`` (row, path, tokens, bad).
 
     Support is the number of bad pages with all the items, at least ``min_pages``; confidence the share of bad ones
-    among all labelled pages with the items.
+    among all labelled pages with the items. Of tokens that stand on the very same labelled pages only the first in
+    alphabetical order is in rules, and tokens of every labelled page are in none.
     """
-    labelled = materialise(pages.filter("bad IS NOT NULL").select("row", "path", "tokens", "bad"), "url-labelled")
-    bad = labelled.filter("bad").select(F.col("tokens").alias("items"))
+    labelled = _telling(materialise(pages.filter("bad IS NOT NULL").select("row", "path", "tokens", "bad"), "url-pages"), min_pages)
+    bad = labelled.filter("bad").select("items")
     # Half a page less, so that rounding of the share can't lose a set.
     share = min(max((min_pages - 0.5) / max(bad.count(), 1), 0.0), 1.0)
     sets = FPGrowth(itemsCol="items", minSupport=share, minConfidence=min_confidence).fit(bad).freqItemsets
     sets = sets.filter(F.col("freq") >= min_pages).select(F.array_sort("items").alias("items"), "freq")
     # Each set is filed under its rarest token.
-    frequency = labelled.select(F.explode("tokens").alias("item")).groupBy("item").agg(F.count("*").alias("pages"))
+    frequency = labelled.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("pages"))
     filed = (
         sets.select("items", "freq", F.explode("items").alias("item"))
         .join(frequency, "item")
@@ -91,13 +109,13 @@ def mine_rules(pages: DataFrame, min_pages: int = 5, min_confidence: float = 0.9
     )
     filed = materialise(filed, "url-sets")
     totals = (
-        _matches(labelled, filed.withColumn("rule_items", F.col("items")))
+        _matches(labelled.select("row", "path", F.col("items").alias("tokens")), filed.withColumn("rule_items", F.col("items")))
         .groupBy("rule_items")
         .agg(F.count("*").alias("pages"))
         .withColumnRenamed("rule_items", "items")
     )
     sure = filed.join(totals, "items").withColumn("confidence", F.col("support") / F.col("pages")).filter(F.col("confidence") >= min_confidence)
-    sure = materialise(sure.select("items", "filed", "support", "confidence"), "url-sure")
+    sure = materialise(sure.select("items", "filed", "support", "pages", "confidence"), "url-sure")
     # Each set beside those with a token less.
     fewer = sure.select("items", "confidence", F.explode("items").alias("item")).withColumn("fewer", F.array_except("items", F.array("item")))
     parts = sure.select(F.col("items").alias("fewer"), F.col("confidence").alias("had"))
@@ -106,7 +124,9 @@ def mine_rules(pages: DataFrame, min_pages: int = 5, min_confidence: float = 0.9
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame | None = None, **mining) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, confidence.
+    """One row per page: page_id, host, path, rule, verdict, and the mined rule that is surest of it.
+
+    The last is given by mined_rule (its tokens, null if none fits), support and confidence.
 
     ``rules`` are (verdict, host, path); the longest that fits decides. Other pages are blocked where a mined rule
     fits and allowed else; ``labels`` has page_id and bad (boolean) for mining, null ids and null labels ignored.
@@ -118,25 +138,28 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labels: Data
     read = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url").select(
         "row", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tokens_of(F.col("url")).alias("tokens")
     )
-    pages = materialise(read.withColumn("tokens", F.concat("tokens", suffixes(F.col("host"), depth))), "url-tokens")
-    form = "filed string, items array<string>, prefix string, listed string, verdict string, confidence double"
-    index = spark.createDataFrame([(f"under:{host}", [f"under:{host}"], path, host + path, verdict, 1.0) for verdict, host, path in rules], form)
+    pages = materialise(read, "url-tokens")
+    form = "filed string, items array<string>, prefix string, listed string, verdict string, support long, confidence double"
+    index = spark.createDataFrame([(f"under:{host}", [f"under:{host}"], path, host + path, verdict, None, 1.0) for verdict, host, path in rules], form)
     if labels is not None:
         known = labels.filter("page_id IS NOT NULL AND bad IS NOT NULL").groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.max("bad").alias("bad"))
         mined = mine_rules(pages.join(known, "page_id"), **mining)
         index = index.unionByName(
-            mined.select("filed", "items", F.lit("").alias("prefix"), F.lit(None).cast("string").alias("listed"), F.lit("block").alias("verdict"), "confidence")
+            mined.select("filed", "items", F.lit("").alias("prefix"), F.lit(None).cast("string").alias("listed"), F.lit("block").alias("verdict"), "support", "confidence")
         )
-    index = materialise(index, "url-index")
-    best = _matches(pages, index).groupBy("row").agg(
+    index = materialise(index.withColumn("mined", F.when(F.col("listed").isNull(), F.col("items"))), "url-index")
+    looked_up = pages.withColumn("tokens", F.concat("tokens", suffixes(F.col("host"), depth)))
+    best = _matches(looked_up, index).groupBy("row").agg(
         F.max(F.when(F.col("listed").isNotNull(), F.struct(F.length("listed").alias("n"), "listed", "verdict"))).alias("by_list"),
-        F.max(F.when(F.col("listed").isNull(), F.col("confidence"))).alias("confidence"),
+        F.max(F.when(F.col("listed").isNull(), F.struct("confidence", "support", "mined"))).alias("by_rule"),
     )
     return pages.join(best, "row", "left").select(
         "page_id",
         "host",
         "path",
         F.col("by_list.listed").alias("rule"),
-        F.coalesce("by_list.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"),
-        "confidence",
+        F.coalesce("by_list.verdict", F.when(F.col("by_rule").isNotNull(), "block").otherwise("allow")).alias("verdict"),
+        F.array_join("by_rule.mined", " ").alias("mined_rule"),
+        F.col("by_rule.support").alias("support"),
+        F.col("by_rule.confidence").alias("confidence"),
     )
