@@ -3,8 +3,9 @@
 The key is (order column, row number of the written table), so it is unique and even one hot value of the order
 column can be split. Boundaries are refined like digits: each round counts the exact bytes of the rows in every
 still open interval by the next eight bits of the key, and the target is looked up in the running sums, until the
-bytes below a boundary are within the tolerance of their target. Only sums for at most ``open splitters * 256``
-candidate boundaries reach the driver in a round, whatever the input.
+bytes below a boundary are within the tolerance of their target. Only sums for at most ``SUMS`` candidate boundaries
+reach the driver in a round, whatever the input. Every shard is cut into parts in the same way; a part is one key range,
+exchanged once and sorted, so slots follow the key through the whole shard.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from .common import free_name, materialise
 
 SIGN = -(1 << 63)
 DIGIT = 8
-#: A shard is dealt to this many parts at least; the rows of a part are ranked together.
+#: Sums that may reach the driver in one round of refinement.
+SUMS = 1 << 20
+#: A shard has this many parts at least; the rows of a part are sorted together.
 MIN_PARTS = 4
 
 
@@ -37,7 +40,7 @@ def _digits(rows: DataFrame, key: str, size: str, prefixes: set[int], shift: int
         .agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"))
     )
     out: dict[int, dict] = {p: {} for p in prefixes}
-    for x in found.collect():  # at most 256 sums for each open prefix
+    for x in found.collect():  # SUMS rows at most
         out[_unsigned(x[0])][x[1]] = (x[2], x[3])
     return out
 
@@ -51,7 +54,7 @@ def _search(rows: DataFrame, key: str, size: str, targets: dict[int, int], top:
     open_at = {n: (0, 0) for n in targets}  # prefix, bytes below it
     done, shift = {}, top
     while open_at and shift:
-        width = min(DIGIT, shift)
+        width = min(DIGIT, shift, max(1, (SUMS // len(open_at)).bit_length() - 1))
         shift -= width
         sums = _digits(rows, key, size, {p for p, _ in open_at.values()}, shift, width)
         still = {}
@@ -87,8 +90,8 @@ def histogram_shards(
     ``size`` names a long column with a row's bytes (null counts as 0), ``order`` the integral column by which shards
     are ordered (null first). The bytes of every shard differ from total / n_shards by at most ``tolerance`` of that
     plus one row. Rows with equal order values, even identical ones, are told apart by their place in the written
-    table. An empty table gives no row; with fewer rows than shards, some shards stay empty. Names of added columns
-    which ``docs`` already has are replaced.
+    table. Slots follow (order, place). An empty table gives no row; with fewer rows than shards, some shards stay empty.
+    Own columns named shard or slot are replaced, all others come back as they are.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
@@ -108,46 +111,43 @@ def histogram_shards(
     if parts_per_shard is None:
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         parts_per_shard = max(MIN_PARTS, -(-4 * tasks // n_shards))
-    cuts = _cuts(rows, hi, lo, mass, total, least, most, n_shards, tolerance) if count else []
+    n_parts = n_shards * parts_per_shard
+    cuts = _cuts(rows, hi, lo, mass, total, least, most, n_parts, tolerance * parts_per_shard) if count else []
 
-    shard, part = free_name(rows, "shard"), free_name(rows, "part")
-    placed = rows.withColumn(shard, _cut_number(cuts, hi, lo)).withColumn(
-        part, F.col(shard) * parts_per_shard + F.pmod(F.xxhash64(lo), F.lit(parts_per_shard)).cast("int")
-    )
+    part, at, before = (free_name(docs, c) for c in ("part", "at", "before"))
+    placed = rows.withColumn(part, _cut_number(cuts, hi, lo))
     order_in = Window.partitionBy(part).orderBy(F.col(hi).bitwiseXOR(F.lit(SIGN)), lo)
-    before = Window.partitionBy(shard).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(F.floor(F.col(part) / parts_per_shard)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     # A row per part. Written, so that its size is known when the join is planned.
     bases = materialise(
-        placed.groupBy(shard, part)
-        .agg(F.count("*").alias("n"))
-        .select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before_part"))
-        .coalesce(1),
+        placed.groupBy(part).agg(F.count("*").alias(at)).select(part, F.coalesce(F.sum(at).over(earlier), F.lit(0)).alias(before)).coalesce(1),
         "part-bases",
     )
     return (
-        placed.withColumn("rank_in_part", F.row_number().over(order_in))
+        placed.withColumn(at, F.row_number().over(order_in))
         .join(bases, part)
-        .select(*kept, F.col(shard).alias("shard"), (F.col("before_part") + F.col("rank_in_part") - 1).alias("slot"))
+        .select(*kept, F.floor(F.col(part) / parts_per_shard).cast("int").alias("shard"), (F.col(before) + F.col(at) - 1).alias("slot"))
     )
 
 
-def _cuts(rows, hi, lo, mass, total, least, most, n_shards, tolerance) -> list[tuple[int, int]]:
-    """The ascending (hi, lo) boundaries between shards."""
-    slack = int(tolerance * total / n_shards / 2)
-    wanted = {k: total * k // n_shards for k in range(1, n_shards)}
+def _cuts(rows, hi, lo, mass, total, least, most, n, tolerance) -> list[tuple[int, int]]:
+    """The ascending (hi, lo) boundaries between n ranges of the key."""
+    slack = int(tolerance * total / n / 2)
+    wanted = {k: total * k // n for k in range(1, n)}
     least, most = least - SIGN, most - SIGN  # in unsigned order
     top = (least ^ most).bit_length()
     base = (least >> top) << top
-    rows = rows.withColumn("_low", F.col(hi).bitwiseXOR(F.lit(_signed(base))))
+    low = free_name(rows, "low")
+    rows = rows.withColumn(low, F.col(hi).bitwiseXOR(F.lit(_signed(base))))
     found: dict[int, tuple[int, int]] = {}
     tied: dict[int, dict[int, int]] = {}
-    for k, (value, below, exact) in _search(rows, "_low", mass, wanted, top, slack).items():
+    for k, (value, below, exact) in _search(rows, low, mass, wanted, top, slack).items():
         if exact:
             found[k] = (base + value, 0) if base + value < 1 << 64 else ((1 << 64) - 1, (1 << 63) - 1)
         else:
             tied.setdefault(value, {})[k] = wanted[k] - below
     for value, inside in tied.items():  # one value with more than the slack: its rows are told apart by their number
-        own = rows.filter(F.col("_low") == F.lit(_signed(value)))
+        own = rows.filter(F.col(low) == F.lit(_signed(value)))
         last = own.agg(F.max(lo)).first()[0] or 0
         for k, (number, _, _) in _search(own, lo, mass, inside, max(last.bit_length(), 1), slack).items():
             found[k] = (base + value, number)
@@ -158,15 +158,16 @@ def _cuts(rows, hi, lo, mass, total, least, most, n_shards, tolerance) -> list[t
 
 
 def _cut_number(cuts: list[tuple[int, int]], hi: str, lo: str) -> Column:
-    """How many cuts are at or below the row's key, by a balanced tree of comparisons."""
-
-    def below(a: int, b: int) -> Column:
-        if a == b:
-            return F.lit(a)
-        mid = (a + b) // 2
-        value, number = cuts[mid]
-        key, at = F.col(hi).bitwiseXOR(F.lit(SIGN)), F.lit(_signed(value ^ (1 << 63)))
-        under = (key < at) if not number else (key < at) | ((key == at) & (F.col(lo) < F.lit(number)))
-        return F.when(under, below(a, mid)).otherwise(below(mid + 1, b))
-
-    return below(0, len(cuts))
+    """How many cuts are at or below the row's key, by binary search: one step for each bit of their number."""
+    if not cuts:
+        return F.lit(0)
+    key = F.struct(F.col(hi).bitwiseXOR(F.lit(SIGN)).alias("value"), F.col(lo).alias("number"))
+    values, numbers = (F.array(*(F.lit(x).cast("long") for x in xs)) for xs in zip(*((_signed(v ^ (1 << 63)), n) for v, n in cuts)))
+    steps = F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)))
+
+    def further(found: Column, step: Column) -> Column:
+        nth = found + step  # from 1
+        cut = F.struct(F.get(values, nth - 1).alias("value"), F.get(numbers, nth - 1).alias("number"))
+        return F.when((nth <= len(cuts)) & (cut <= key), nth).otherwise(found)
+
+    return F.aggregate(steps, F.lit(0), further)

@@ -193,7 +193,7 @@ def test_spans_lead_back_to_the_original():
 
 def test_license_scan(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
-    texts = ["MIT License. mit-license", "the mit. licenses", None, "", mit, "Licensed under CC BY-NC 4.0.", "GNU General Public License", LONG, "apache Apache license", "mit lıcense mit LICENSE", "general public licenK", "person permission copy software"]
+    texts = ["MIT License. mit-license", "the mit. licenses", None, "", mit, "Licensed under CC BY-NC 4.0.", "GNU General Public License", LONG, "apache Apache license", "mit lıcense mit LICENSE", "GENERAL PUBLIC LICENSE, K KIND", "mit licen\u212a", "GNU GENERAL PUBLIC LICENSE. THIS WORK IS LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE VERSION 3", "MIT LICENSE", "person permission copy software"]
     got = {r.doc_id: r for r in licenses.scan_licenses(table(spark, texts, row=F.lit(1), hits=F.lit(2))).collect()}
     for n, text in enumerate(texts):
         w = words(text)
@@ -201,10 +201,44 @@ def test_license_scan(spark):
         r = got[n]
         assert (r.n_words, r.n_base) == (len(w), len(places)) and r.base_labels == ",".join(sorted({x for _, x in places}))
         assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
-    assert got[4].labels == "mit" and got[4].score > 0.6 and got[5].labels == "cc-by-nc" and got[11].labels == "" and got[0].score == 1
+    assert got[4].labels == "mit" and got[4].score > 0.6 and got[5].labels == "cc-by-nc" and got[14].labels == "" and got[0].score == 1 and got[13].labels == "mit"
     assert licenses.scan_licenses(table(spark, texts).limit(0)).count() == 0
 
 
+def brute_labels(text):
+    w, out = words(text), set()
+    for label, phrase, notice in licenses.TEMPLATES:
+        listed, must = notice.split(), phrase.split()
+        start = next(i for i in range(len(listed)) if listed[i : i + len(must)] == must)
+        for at in range(len(w) - len(must) + 1):
+            if w[at : at + len(must)] == must:
+                inside = sum(0 <= at - start + k < len(w) and w[at - start + k] == x for k, x in enumerate(listed))
+                if inside >= licenses.COVERAGE * len(listed):
+                    out.add((at - start, label, inside / len(listed)))
+    return out
+
+
+def test_licence_templates_by_brute_force(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(150):
+        w = []
+        for _ in range(rng.randrange(1, 4)):
+            notice = rng.choice(licenses.TEMPLATES)[2].split()
+            for k in range(len(notice)):
+                if rng.random() < rng.choice([0, 0.1, 0.4]):
+                    notice[k] = rng.choice(["the", "kind", "license", notice[k].upper()])
+            w += notice[rng.randrange(3) :] + rng.choices(["the", "mit", "of", "x", "general"], k=rng.randrange(5))
+        texts.append(rng.choice([" ", "-", ", "]).join(w))
+    texts += texts[:2]  # repeated rows
+    rows = licenses.scan_licenses(table(spark, texts, [*range(150), 0, 1]).repartition(3)).collect()
+    assert len(rows) == 152 and sum(bool(r.found) for r in rows) > 60
+    for r in rows:
+        expected = brute_labels(texts[r.doc_id])
+        assert {(x.offset, x.label, x.share) for x in r.found or []} == expected
+        assert r.labels == ",".join(sorted({x[1] for x in expected} | set(filter(None, r.base_labels.split(",")))))
+
+
 # --- exact duplicates
 
 
@@ -296,6 +330,12 @@ def test_components_of_a_chain(spark):
 # --- sharding
 
 
+def test_many_shards(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("size"))
+    rows = sharding.histogram_shards(df, 1500, parts_per_shard=1).groupBy("shard").count().collect()
+    assert len(rows) == 1500 and max(r["count"] for r in rows) <= 5
+
+
 def test_histogram_shards(spark):
     rng = random.Random(5)
     sizes = [rng.randrange(8, 400) for _ in range(900)]
@@ -310,8 +350,11 @@ def test_histogram_shards(spark):
         assert sorted(r.slot for r in held) == list(range(len(held)))
         assert abs(sum(r["size"] for r in held) - sum(sizes) / 24) <= 400 + 1
     low = lambda r: -(1 << 63) if r.doc_id is None else r.doc_id
-    for k in range(23):
-        assert max(map(low, by[k])) <= min(map(low, by[k + 1]))
+    along = [low(r) for k in range(24) for r in sorted(by[k], key=lambda r: r.slot)]
+    assert along == sorted(along)
+    own = df.withColumns({c: F.lit(c) for c in ("rank_in_part", "before_part", "before", "at", "part", "hi", "low")})
+    kept = sharding.histogram_shards(own, 24)
+    assert kept.count() == len(sizes) and kept.select("rank_in_part", "before_part", "before", "at", "part", "hi", "low").distinct().collect() == [("rank_in_part", "before_part", "before", "at", "part", "hi", "low")]
     assert sharding.histogram_shards(df.limit(0), 24).count() == 0
     assert sorted(r.slot for r in sharding.histogram_shards(df.limit(1), 24).collect()) == [0]
 
