@@ -63,16 +63,31 @@ def chunk_of(key: str) -> str:
     return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
 
 
+class _Known(dict):
+    """key of a chunk -> its ids; what is missing is taken from the generation before, or learnt."""
+
+    def __init__(self, learn, before: dict[str, bytes]):
+        self.learn, self.before = learn, before
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.before.get(key)
+        if ids is None:
+            ids = self.learn(key)
+        self[key] = ids
+        return ids
+
+
 class ChunkEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.keep, self.young, self.old, self.parts = keep, {}, {}, {}
+        self.keep, self.known, self.parts = keep, _Known(self._learn, {}), {}
+        self.packed = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
         # Whether the tokenizer lower-cases, and whether the space before a word is part of its token.
         self.lower = self._plain_ids("A") == self._plain_ids("a")
         self.spaced = self._plain_ids(" a") != self._plain_ids("a")
@@ -80,8 +95,8 @@ class ChunkEncoder:
     def _plain_ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(self._plain_ids(x), dtype="<u4").tobytes() for x in texts]
+    def _ids(self, text: str) -> bytes:
+        return np.array(self._plain_ids(text), dtype="<u4").tobytes()
 
     def _word(self, word: str, space: bool) -> bytes:
         """The ids of PLAIN letters, with or without a space before them."""
@@ -89,64 +104,44 @@ class ChunkEncoder:
             word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(STAND_IN)
-        found = self.model.tokenize("Ġ" + word if space and self.spaced else word)
-        return b"".join([t.id.to_bytes(4, "little") for t in found])
-
-    def _learn(self, keys: set[str]) -> None:
-        """Afterwards the young generation holds every one of ``keys``."""
-        if len(self.young) > self.keep:
-            self.old, self.young = self.young, {}
-        young, old, rest = self.young, self.old, []
-        for key in keys:
-            if (known := old.get(key)) is not None:
-                young[key] = known
-                continue
-            begin = key[:1]
-            at = 1 if begin in ("\0", "\n") else 0
-            found = PLAIN.match(key, at)
-            end = found.end() if found else at
-            if found and (end == len(key) or MARKS.fullmatch(key, end)):
-                # The line end, the letters and the marks are pre-tokens of their own.
-                core = key[at:end]
-                name = core if not at or not self.spaced else "\0" + core
-                ids = young.get(name) or old.get(name)
-                if ids is None:
-                    ids = young[name] = self._word(core, not at)
-                if begin == "\n":
-                    ids = self._part("\n") + ids
-                young[key] = ids + self._part(key[end:]) if end < len(key) else ids
-            else:
-                rest.append(key)
-        if rest:
-            young.update(zip(rest, self._ids([chunk_of(key) for key in rest])))
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize("Ġ" + word if space and self.spaced else word)])
+
+    def _learn(self, key: str) -> bytes:
+        at = 1 if key[:1] in ("\0", "\n") else 0
+        found = PLAIN.match(key, at)
+        end = found.end() if found else at
+        if not found or end < len(key) and not MARKS.fullmatch(key, end):
+            return self._ids(chunk_of(key))
+        # The line end, the letters and the marks are pre-tokens of their own.
+        if end == len(key) and key[0] != "\n":
+            return self._word(key[at:], not at)
+        core = key[at:end]
+        ids = self.known[core if not at or not self.spaced else "\0" + core]
+        if key[0] == "\n":
+            ids = self._part("\n") + ids
+        return ids + self._part(key[end:]) if end < len(key) else ids
 
     def _part(self, text: str) -> bytes:
         if text not in self.parts:
             if len(self.parts) > 10_000:
                 self.parts.clear()
-            self.parts[text] = self._ids([text])[0]
+            self.parts[text] = self._ids(text)
         return self.parts[text]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
+            if len(self.known) > self.keep:  # a new generation; the one before the last is forgotten
+                self.known.before = {}
+                self.known = _Known(self._learn, self.known)
             if ODD.search(text):
-                out.append(self._ids([text])[0])
+                out.append(self._ids(text))
             else:
-                out.append(b"".join([self._known(chunks_of(piece)) for piece in pieces(text)]))
+                get = self.known.__getitem__
+                out.append(b"".join([b"".join(map(get, chunks_of(piece))) for piece in pieces(text)]))
         return out
 
-    def _known(self, keys: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.young.__getitem__, keys))
-        except KeyError:
-            pass
-        young = self.young
-        self._learn({k for k in keys if k not in young})
-        if self.young is not young:  # a new generation began
-            self._learn(set(keys))
-        return b"".join(map(self.young.__getitem__, keys))
-
 
 def encoder(path: str) -> ChunkEncoder:
     """This worker's encoder for a tokenizer file."""
