@@ -1,13 +1,16 @@
 """Cross-entropy difference of two matched n-gram models.
 
-Target and background model are bigram models over one vocabulary, estimated alike (interpolated, absolute discount).
-The background counts are gathered from every document, the target counts from every document named as target. Every
-word is in the vocabulary and every bigram that occurs has its entry, however rare it is and however large the corpus.
-
-The count tables grow with the corpus and are never held by a task. Bigrams are sharded by their words, and those of
-the documents are joined with them. Only for speed, and without effect on the result, the most frequent words and
-bigrams are met where they are read: at most ``NEAR_WORDS`` and ``NEAR_PAIRS`` of them, so their share shrinks as the
-corpus grows; all others go through the joins, which are thereby free of very common keys.
+Target and background model are bigram models over one vocabulary, estimated alike: with n(v) events after the word v,
+a word that followed it n(v, w) times has the probability n(v, w) / (n(v) + ESCAPE), and any other ESCAPE / (n(v) +
+ESCAPE), spread evenly over the vocabulary. Beginnings count as a word before the first, ends as one after the last. The
+background counts come from every document, the target counts from every document named as target; every word and
+every bigram that occurs is in the models, however rare it is and however large the corpus.
+
+An event's loss is a sum of a term for the bigram and one for its context, each a function of one total. So bigrams and
+contexts are features alike: those of a chunk of documents are sorted once and dealt by their hash, totals are taken
+where equal features meet, and what comes back to the chunk is each document's sum over the features of that bucket.
+Features that are frequent within a chunk are counted there, and only their totals travel; so no feature, however
+frequent, gathers its occurrences in one task. No table of the models is ever held as a whole.
 """
 
 from __future__ import annotations
@@ -16,18 +19,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-
-from .common import WORD_BYTES, materialise, text_or_empty
-from .ngrams import Numbers, Tally, slices, sorted_table
-
-BEGIN = 0
-DISCOUNT = 0.75
-NEAR_WORDS, NEAR_PAIRS = 400_000, 2_000_000
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
+
+from .blobs import mix, numbers, of_planes, planes, rows, run_starts, spread
+from .common import WORD_BYTES, materialise, text_or_empty, trim
+from .ngrams import Numbers, slices
+
+ESCAPE = 1.0
+#: Words and documents of a chunk; a chunk ends with the document that reaches either.
+CHUNK, CHUNK_DOCS = 500_000, 60_000
+#: A feature of so many occurrences in a chunk is counted there.
+OFTEN = 16
+#: Bits of the filter that tells most documents which are no target from the others, whatever the number of targets.
+FILTER_BITS = 1 << 26
 #: Losses are summed as integers in this unit, so that sums do not depend on their order.
-UNIT = 2.0**-30
+UNIT = 2.0**-24
+BEGIN, END = 1, 2
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
+DOCUMENT, PART, SIDE, SUM, FOUND, VOCABULARY = range(6)
+TYPES = {"kind": pa.int32(), "bucket": pa.int32(), "chunk": pa.int64(), "seq": pa.int32(), "doc_id": pa.int64(), "n": pa.int64()}
+TYPES |= {c: pa.binary() for c in "abcdefg"}
+ROW = "kind int, bucket int, chunk long, seq int, doc_id long, n long, " + ", ".join(f"{c} binary" for c in "abcdefg")
+RESULT = "kind int, doc_id long, n long, t long, b long, unseen long"
+
 
 def _hash(word: bytes) -> int:
     from xxhash import xxh3_64_intdigest
@@ -35,137 +51,217 @@ def _hash(word: bytes) -> int:
     return xxh3_64_intdigest(word) - (1 << 63)
 
 
-def _key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (v.astype(np.int64).view(np.uint64) * ODD + w.astype(np.int64).view(np.uint64)).view(np.int64)
-
-
-def _pairs_of(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For all words of all texts in a row: the one before each (or BEGIN), and the word."""
-    none = [np.zeros(0, dtype=np.int64)]
-    return np.concatenate([x for t in words if len(t) for x in ([BEGIN], t[:-1])] or none).astype(np.int64), np.concatenate(words or none)
-
-
-class _PairTally(Tally):
-    """Counts of bigrams (key, v, w, n)."""
-
-    def _merged(self) -> tuple[np.ndarray, ...]:
-        keys, v, w, n = (np.concatenate(x) for x in zip(*self.parts))
-        keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        return keys, v[first], w[first], np.bincount(inverse, weights=n, minlength=len(keys)).astype(np.int64)
-
-
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    numbers, tally = Numbers(_hash), _PairTally(["key", "v", "w", "n"])
-    for _, texts in slices(batches):
-        v, w = _pairs_of([numbers.of(x, WORD_BYTES) for x in texts])
-        tally.add(_key(v, w), v, w, np.ones(len(w), dtype=np.int64))
-        for out in tally.take():
-            yield out.select(["v", "w", "n"])
-    for out in tally.take(force=True):
-        yield out.select(["v", "w", "n"])
-
-
-def _read(shared):
-    """For each row its number of words and the losses of its near bigrams; and a row for every other bigram."""
+def _features(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the documents' events, and the documents' numbers: contexts are even, bigrams odd."""
+    events = np.array([len(x) + 1 if len(x) else 0 for x in words], dtype=np.int64)
+    begin, end = np.array([BEGIN], dtype=np.uint64), np.array([END], dtype=np.uint64)
+    v = np.concatenate([np.zeros(0, dtype=np.uint64), *(part for x in words if len(x) for part in (begin, x))])
+    w = np.concatenate([np.zeros(0, dtype=np.uint64), *(part for x in words if len(x) for part in (x, end))])
+    owner = np.repeat(np.arange(len(words), dtype=np.uint16), events)
+    return np.concatenate([_contexts(v), mix(v * ODD + mix(w)) | np.uint64(1)]), np.concatenate([owner, owner])
+
+
+def _contexts(v: np.ndarray) -> np.ndarray:
+    return mix(v) & ~np.uint64(1)
+
+
+def _deal(buckets: int, chunk_words: int, often_from: int, number: int):
+    """A row per document (doc_id, text, target), and the features of every chunk, dealt by hash into ``buckets``."""
+    edges = np.array([-(-(k << 64) // buckets) for k in range(1, buckets)], dtype=np.uint64)
+
+    def dealt(chunk: int, words: list[np.ndarray], target: list[bool]) -> Iterator[pa.RecordBatch]:
+        flat, owner = _features(words)
+        order = np.argsort(flat)
+        flat, owner = flat[order], owner[order]
+        first = run_starts(flat)
+        counts = np.diff(np.append(first, len(flat))).astype("u4")
+        is_target = np.array(target, dtype=bool)
+        mine = np.add.reduceat(is_target[owner].astype(np.int64), first).astype("u4") if len(first) else counts
+        many = counts >= often_from
+        inside = np.repeat(many, counts)
+        keys, times, often, totals, targets = flat[first[~many]], counts[~many], flat[first[many]], counts[many], mine[many]
+        beside, owner = owner[inside], owner[~inside]
+        places = np.concatenate([[0], np.cumsum(times, dtype=np.int64)])
+        cut, often_cut = (np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in (keys, often))
+        spans = [(k, slice(cut[k], cut[k + 1]), slice(often_cut[k], often_cut[k + 1])) for k in range(buckets)]
+        spans = [x for x in spans if x[1].start < x[1].stop or x[2].start < x[2].stop]
+        flags = np.packbits(is_target).tobytes()
+        yield rows(
+            TYPES, len(spans), kind=[PART] * len(spans), bucket=[x[0] for x in spans], chunk=[chunk] * len(spans), n=[len(words)] * len(spans),
+            a=[planes(keys[s]) for _, s, _ in spans], b=[planes(times[s]) for _, s, _ in spans],
+            c=[owner[places[s.start] : places[s.stop]].tobytes() for _, s, _ in spans],
+            d=[planes(often[s]) for _, _, s in spans], e=[planes(totals[s]) for _, _, s in spans], f=[planes(targets[s]) for _, _, s in spans],
+            g=[flags] * len(spans),
+        )
+        yield rows(TYPES, 1, kind=[SIDE], bucket=[spread(chunk, buckets)], chunk=[chunk], a=[planes(often)], b=[planes(totals)], c=[beside.tobytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, (keys, *losses) = Numbers(_hash), shared.value
+        known = Numbers(_hash)
+        chunk, words, target, size = (TaskContext.get().partitionId() << 25) + (number << 24), [], [], 0
         for batch, texts in slices(batches):
-            words = [numbers.of(x, WORD_BYTES) for x in texts]
-            lengths = np.array([len(x) for x in words], dtype=np.int64)
-            ends = np.cumsum(lengths)
-            v, w = _pairs_of(words)
-            wanted = _key(v, w)
-            at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-            found = keys[at] == wanted if len(keys) else np.zeros(len(wanted), dtype=bool)
-            sums = []
-            for loss in losses:
-                running = np.concatenate([[0], np.cumsum(np.where(found, loss[at], 0) if len(keys) else np.zeros(len(wanted), dtype=np.int64))])
-                sums.append(pa.array(running[ends] - running[ends - lengths]))
-            row = batch.column("row").to_numpy()
-            none = pa.nulls(len(row), pa.int64())
-            names = ["row", "v", "w", "doc_id", "n_tokens", "t", "b"]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), none, none, batch.column("doc_id"), pa.array(lengths), *sums], names=names)
-            far = ~found
-            none = pa.nulls(int(far.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, lengths)[far]), pa.array(v[far]), pa.array(w[far]), none, none, none, none], names=names)
+            chunks, seqs, ns = [], [], []
+            for text, is_target in zip(texts, batch.column("target").to_pylist()):
+                found = known.of(text, WORD_BYTES).view(np.uint64)
+                chunks.append(chunk)
+                seqs.append(len(words))
+                ns.append(len(found))
+                words.append(found)
+                target.append(bool(is_target))
+                size += len(found)
+                if size >= chunk_words or len(words) >= CHUNK_DOCS:
+                    yield from dealt(chunk, words, target)
+                    chunk, words, target, size = chunk + 1, [], [], 0
+            yield rows(
+                TYPES, len(ns), kind=[DOCUMENT] * len(ns), bucket=[spread(x + k, buckets) for k, x in enumerate(chunks)],
+                chunk=chunks, seq=seqs, doc_id=batch.column("doc_id"), n=ns,
+            )
+        if words:
+            yield from dealt(chunk, words, target)
+        trim()
 
     return run
 
 
-def _least(table: DataFrame, count: str, most: int) -> int:
-    """The least count that at most ``most`` rows of ``table`` reach."""
-    seen = table.groupBy(F.least(count, F.lit(100_000)).alias("k")).agg(F.count("*").alias("rows")).collect()
-    upto, least = 0, 100_001
-    for k, rows in sorted(((x["k"], x["rows"]) for x in seen), reverse=True):
-        upto += rows
-        if upto > most:
-            break
-        least = k
-    return least
-
-
-def _beside(table: DataFrame, words: DataFrame, least: int) -> DataFrame:
-    """``table`` joined with ``words`` (its first column and uses): frequent words by a bounded broadcast."""
-    key = words.columns[0]
-    near, far = words.filter(F.col("uses") >= least).drop("uses"), words.filter(F.col("uses") < least).drop("uses")
-    near = F.broadcast(near)  # NEAR_WORDS rows
-    return table.join(near, key).unionByName(table.join(F.broadcast(near.select(key)), key, "left_anti").join(far, key))
-
-
-def fit(texts: DataFrame, target_texts: DataFrame) -> tuple[DataFrame, int]:
-    """For every bigram (v, w, n) its losses t and b in UNITs under both models; and from which n on it is near."""
-    count = lambda df: df.select("text").mapInArrow(_count_pairs, "v long, w long, n long")
-    both = count(texts).withColumn("target", F.lit(0).cast("long")).unionByName(count(target_texts).select("v", "w", F.lit(0).cast("long").alias("n"), F.col("n").alias("target")))
-    pairs = materialise(both.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum("target").alias("target")), "lm-pairs")
-    contexts = pairs.groupBy(F.col("v").alias("word")).agg(
-        F.sum("n").alias("all_b"), F.sum("target").alias("all_t"), F.count("*").alias("kinds_b"), F.count_if(F.col("target") > 0).alias("kinds_t")
+def _losses(keys: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each feature's term of the loss in UNITs, and whether it is a bigram that the model lacks."""
+    bigram = (keys & np.uint64(1)).astype(bool)
+    unseen = bigram & (total == 0)
+    term = np.where(bigram, -np.log(np.maximum(total, 1)), np.log(total + ESCAPE))
+    return np.rint(term / UNIT), unseen
+
+
+def _sums(keys, n_b, n_t, times, owner, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every document of a chunk the sums over its occurrences of the features: t, b, unseen."""
+    (t, unseen), (b, _) = _losses(keys, n_t), _losses(keys, n_b)
+    return tuple(np.bincount(owner, weights=np.repeat(x.astype(np.float64), times), minlength=documents).astype(np.int64) for x in (t, b, unseen))
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals of the features of each bucket, from rows in order of their bucket, and what they mean for each chunk."""
+    bucket, parts = None, []
+    for batch in batches:
+        is_part = np.asarray(batch.column("kind")) == PART
+        if not is_part.all():
+            yield batch.filter(pa.array(~is_part))
+        for row in batch.filter(pa.array(is_part)).to_pylist():
+            if row["bucket"] != bucket:
+                yield from _totals(parts)
+                bucket, parts = row["bucket"], []
+            flags = np.unpackbits(numbers(row["g"], "u1"), count=row["n"]).astype(bool)
+            parts.append((row["chunk"], row["n"], of_planes(row["a"]), of_planes(row["b"], "u4"), numbers(row["c"], "u2"), of_planes(row["d"]), of_planes(row["e"], "u4"), of_planes(row["f"], "u4"), flags))
+    yield from _totals(parts)
+    trim()
+
+
+def _totals(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if not parts:
+        return
+    inline_t = []
+    for _, _, keys, times, owner, _, _, _, flags in parts:
+        starts = np.cumsum(times, dtype=np.int64) - times
+        inline_t.append(np.add.reduceat(flags[owner].astype(np.int64), starts) if len(keys) else np.zeros(0, dtype=np.int64))
+    both = [p[2] for p in parts] + [p[5] for p in parts]
+    flat = np.concatenate(both)
+    n_b = np.concatenate([p[3] for p in parts] + [p[6] for p in parts]).astype(np.int64)
+    n_t = np.concatenate(inline_t + [p[7].astype(np.int64) for p in parts])
+    order = np.argsort(flat)
+    ordered = flat[order]
+    first = run_starts(ordered)
+    which = np.empty(len(flat), dtype=np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(flat))))
+    n_b, n_t = np.add.reduceat(n_b[order], first)[which], np.add.reduceat(n_t[order], first)[which]
+    found = ordered[first]
+    words = int(((found & np.uint64(1)) == 0).sum()) - int((found == _contexts(np.array([BEGIN], dtype=np.uint64))[0]).sum())
+    yield rows(TYPES, 1, kind=[VOCABULARY], chunk=[-1], n=[words])
+    ends = np.cumsum([len(x) for x in both])
+    spans = [slice(e - len(x), e) for e, x in zip(ends, both)]
+    for (chunk, documents, keys, times, owner, often, _, _, _), one, two in zip(parts, spans, spans[len(parts) :]):
+        sums = _sums(keys, n_b[one], n_t[one], times, owner, documents)
+        there = np.flatnonzero(np.bincount(owner, minlength=documents))
+        yield rows(TYPES, 1, kind=[SUM], chunk=[chunk], a=[there.astype("u2").tobytes()], b=[planes(sums[0][there])], c=[planes(sums[1][there])], d=[planes(sums[2][there].astype("u4"))])
+        if len(often):
+            yield rows(TYPES, 1, kind=[FOUND], chunk=[chunk], a=[planes(often)], b=[planes(n_b[two])], c=[planes(n_t[two])])
+
+
+def _chunk(table: pa.Table) -> pa.Table:
+    """The documents of a chunk with all their sums, or the size of the vocabulary."""
+    kind = np.asarray(table.column("kind"))
+    of = lambda k: table.filter(pa.array(kind == k))
+    if VOCABULARY in kind:
+        n = sum(of(VOCABULARY).column("n").to_pylist())
+        return pa.table({"kind": pa.array([VOCABULARY], pa.int32())} | {c: pa.array([n if c == "n" else None], pa.int64()) for c in ("doc_id", "n", "t", "b", "unseen")})
+    docs = of(DOCUMENT).select(["seq", "doc_id", "n"])
+    count = docs.num_rows
+    sums = [np.zeros(count, dtype=np.int64) for _ in range(3)]
+    for x in of(SUM).to_pylist():
+        owner = numbers(x["a"], "u2")
+        for total, own in zip(sums, (of_planes(x["b"], "i8"), of_planes(x["c"], "i8"), of_planes(x["d"], "u4"))):
+            total[owner] += own
+    found = of(FOUND).to_pylist()
+    keys = np.concatenate([np.zeros(0, dtype=np.uint64), *(of_planes(x["a"]) for x in found)])
+    order = np.argsort(keys)
+    n_b, n_t = (np.concatenate([np.zeros(0, dtype=np.int64), *(of_planes(x[c], "i8") for x in found)])[order] for c in "bc")
+    for x in of(SIDE).to_pylist():
+        often = of_planes(x["a"])
+        at = np.searchsorted(keys[order], often)
+        for total, own in zip(sums, _sums(often, n_b[at], n_t[at], of_planes(x["b"], "u4"), numbers(x["c"], "u2"), count)):
+            total += own
+    seq = docs.column("seq").to_numpy()
+    return pa.table(
+        {"kind": pa.array(np.full(count, DOCUMENT, dtype=np.int32)), "doc_id": docs.column("doc_id"), "n": docs.column("n")}
+        | {c: pa.array(x[seq]) for c, x in zip(("t", "b", "unseen"), sums)}
     )
-    words = pairs.groupBy(F.col("w").alias("word")).agg(F.sum("n").alias("n_b"), F.sum("target").alias("n_t"))
-    words = materialise(words.join(contexts, "word", "full").na.fill(0).withColumn("uses", F.greatest("n_b", "all_b")), "lm-words")
-    total_b, total_t, size = words.agg(F.sum("n_b"), F.sum("n_t"), F.count_if(F.col("n_b") > 0)).first()
-    least = _least(words, "uses", NEAR_WORDS)
-    single = lambda side, total: ((F.col(f"n_{side}") + 0.5) / ((total or 0) + 0.5 * max(size, 1))).alias(f"single_{side}")
-    priced = _beside(pairs, words.select(F.col("word").alias("v"), "all_b", "all_t", "kinds_b", "kinds_t", "uses"), least)
-    priced = _beside(priced, words.select(F.col("word").alias("w"), single("b", total_b), single("t", total_t), "uses"), least)
 
-    def loss(side: str, n: str) -> Column:
-        whole = F.greatest(F.col(f"all_{side}"), F.lit(1))
-        left = F.when(F.col(f"all_{side}") > 0, DISCOUNT * F.col(f"kinds_{side}") / whole).otherwise(1.0)
-        share = F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / whole
-        return F.round(-F.log(share + left * F.col(f"single_{side}")) / UNIT).cast("long")
 
-    return priced.select("v", "w", "n", loss("t", "target").alias("t"), loss("b", "n").alias("b")), _least(pairs, "n", NEAR_PAIRS)
+def _near_targets(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash class of the ids: FILTER_BITS, however many ids there are."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), {FILTER_BITS}L), 64L) AS int))")
+    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
+    for batch in ids.select(F.floor(at / 64).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow().to_batches():
+        bits[batch.column("at").to_numpy()] = batch.column("bits").to_numpy().view(np.uint64)
+    return bits
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, chunk: int = CHUNK, often: int = OFTEN) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score.
 
-    The losses are -log P per word, ``score`` is target_loss - background_loss: the lower, the more a document is like
-    the target. ``target_ids`` (doc_id) names the target documents, all of which are counted. Null and empty texts
-    have no words, null losses and a null score; null ids in ``target_ids`` are ignored; repeated rows keep a row each;
-    further columns are ignored.
+    The losses are -log P per event (each word, and the end), ``score`` is target_loss - background_loss: the lower, the
+    more a document is like the target. ``target_ids`` (doc_id) names the target documents, all of which are counted.
+    Null and empty texts have no words, null losses and a null score; null ids in ``target_ids`` are ignored; repeated
+    rows keep a row each; further columns are ignored. ``chunk`` and ``often`` decide the cost, never the result.
     """
+    spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = F.col("doc_id").cast("long")
-    ids = target_ids.filter("doc_id IS NOT NULL").select(own.alias("doc_id")).distinct()
-    texts = docs.select(own.alias("doc_id"), text_or_empty().alias("text"))
-    losses, least = fit(texts, materialise(texts.join(ids, "doc_id", "left_semi").select("text"), "lm-target"))
-    v, w, t, b = sorted_table(losses.filter(F.col("n") >= least), "v", "w", "t", "b")  # NEAR_PAIRS rows
-    keys = _key(v, w)
-    order = np.argsort(keys)
-    shared = docs.sparkSession.sparkContext.broadcast((keys[order], t[order], b[order]))
-    read = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
-        _read(shared), "row long, v long, w long, doc_id long, n_tokens long, t long, b long"
-    )
-    # A row's own line has no bigram; its key only spreads such lines.
-    key = F.when(F.col("v").isNotNull(), F.xxhash64("v", "w")).otherwise(F.xxhash64("row", F.lit("row"))).alias("key")
-    far = losses.filter(F.col("n") < least).select(F.xxhash64("v", "w").alias("key"), F.col("t").alias("far_t"), F.col("b").alias("far_b"))
-    joined = read.select("row", key, "doc_id", "n_tokens", "t", "b").join(far, "key", "left")
-    sums = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        *(F.sum(F.coalesce(x, f"far_{x}", F.lit(0))).alias(x) for x in "tb"),
-    )
-    mean = lambda x: F.when(F.col("n_tokens") > 0, F.col(x) * UNIT / F.col("n_tokens"))
-    scored = sums.select("doc_id", "n_tokens", mean("t").alias("target_loss"), mean("b").alias("background_loss"))
-    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    ids = materialise(target_ids.filter("doc_id IS NOT NULL").select(own.alias("doc_id")).distinct(), "lm-target")
+    texts = docs.select(own.alias("doc_id"), text_or_empty().alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at"))
+    bits = spark.sparkContext.broadcast(_near_targets(ids))  # FILTER_BITS bits
+
+    def passing(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column("at").to_numpy().astype(np.uint64)
+                near = ((bits.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+                chosen = batch.filter(pa.array(near == wanted))
+                if chosen.num_rows:
+                    yield pa.RecordBatch.from_arrays([chosen.column("doc_id"), chosen.column("text"), pa.array(np.zeros(chosen.num_rows, dtype=bool))], names=["doc_id", "text", "target"])
+
+        return run
+
+    deal = [_deal(tasks, chunk, often, k) for k in (0, 1)]
+    others = texts.mapInArrow(lambda batches: deal[0](passing(False)(batches)), ROW)
+    near = texts.mapInArrow(passing(True), "doc_id long, text string, target boolean").drop("target")
+    marked = near.join(ids.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left").select("doc_id", "text", "target")
+    dealt = others.unionByName(marked.mapInArrow(deal[1], ROW)).repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    found = materialise(dealt.mapInArrow(_summed, ROW).drop("bucket").groupBy("chunk").applyInArrow(_chunk, RESULT), "lm-losses")
+
+    words = found.filter(f"kind = {VOCABULARY}").agg(F.sum("n")).first()[0] or 0
+    missing = float(np.log((words + 1) / ESCAPE))  # the end is an outcome too
+    mean = lambda x: F.when(F.col("n") > 0, x / (F.col("n") + 1))
+    return found.filter(f"kind = {DOCUMENT}").select(
+        "doc_id",
+        F.col("n").alias("n_tokens"),
+        mean(F.col("t") * UNIT + F.col("unseen") * missing).alias("target_loss"),
+        mean(F.col("b") * UNIT).alias("background_loss"),
+    ).withColumn("score", F.col("target_loss") - F.col("background_loss"))

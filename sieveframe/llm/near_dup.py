@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .blobs import mix, numbers, of_planes, planes, rows, run_starts, spread
 from .common import LOWER_BYTES, byte_values, forget, held, materialise, placed, trim, without
 from .graph import components
 from .regions import LEAF, Region, shared_with
@@ -57,15 +58,6 @@ ROW_TYPES = {"kind": pa.int32(), "bucket": pa.int32(), "chunk": pa.int64(), "seq
 ROW_TYPES |= {c: pa.int64() for c in ("hi", "lo", "n")} | {c: pa.binary() for c in "abcde"}
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers in which every bit depends on every other."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class _WordHash(dict):
     """word -> 64-bit hash, kept for the words met lately."""
 
@@ -126,25 +118,6 @@ def least_shared_with_larger(n):
     return -(-2 * PERCENT * n // (100 + PERCENT))
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Sorted 64-bit integers, byte by byte, which compresses well."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _of_planes(x: bytes | None) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x or b"", dtype=np.uint8).reshape(8, -1).T).view("<u8").ravel()
-
-
-def _numbers(x: bytes | None, kind: str) -> np.ndarray:
-    return np.frombuffer(x or b"", dtype=kind)
-
-
-def _rows(count: int, **columns) -> pa.RecordBatch:
-    """``count`` rows; columns that are not given are null."""
-    arrays = [columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], type=t) if c in columns else pa.nulls(count, t) for c, t in ROW_TYPES.items()]
-    return pa.RecordBatch.from_arrays(arrays, names=list(ROW_TYPES))
-
-
 def _describe(buckets: int, most: int, often_from: int):
     """A row per document, and the shingles of every chunk, dealt by hash into ``buckets``."""
     edges = np.array([-(-(k << 64) // buckets) for k in range(1, buckets)], dtype=np.uint64)
@@ -154,7 +127,7 @@ def _describe(buckets: int, most: int, often_from: int):
         order = np.argsort(flat)
         owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])[order]
         flat = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        first = run_starts(flat)
         counts = np.diff(np.append(first, len(flat)))
         many = counts >= often_from
         often, times = flat[first[many]], counts[many].astype("<u4")
@@ -163,13 +136,13 @@ def _describe(buckets: int, most: int, often_from: int):
         cut, often_cut = (np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in (flat, often))
         spans = [(k, cut[k], cut[k + 1], often_cut[k], often_cut[k + 1]) for k in range(buckets)]
         spans = [x for x in spans if x[1] < x[2] or x[3] < x[4]]
-        yield _rows(
-            len(spans), kind=[PART] * len(spans), bucket=[x[0] for x in spans], chunk=[chunk] * len(spans),
-            a=[_planes(flat[i:j]) for _, i, j, _, _ in spans], b=[owner[i:j].astype("<u2").tobytes() for _, i, j, _, _ in spans],
-            d=[_planes(often[i:j]) for _, _, _, i, j in spans], e=[times[i:j].tobytes() for _, _, _, i, j in spans],
+        yield rows(
+            ROW_TYPES, len(spans), kind=[PART] * len(spans), bucket=[x[0] for x in spans], chunk=[chunk] * len(spans),
+            a=[planes(flat[i:j]) for _, i, j, _, _ in spans], b=[owner[i:j].astype("<u2").tobytes() for _, i, j, _, _ in spans],
+            d=[planes(often[i:j]) for _, _, _, i, j in spans], e=[times[i:j].tobytes() for _, _, _, i, j in spans],
         )
         if len(often):
-            yield _rows(1, kind=[SIDE], bucket=[chunk * 2654435761 % buckets], chunk=[chunk], a=[_planes(often)], b=[beside.astype("<u2").tobytes()], c=[times.tobytes()])
+            yield rows(ROW_TYPES, 1, kind=[SIDE], bucket=[spread(chunk, buckets)], chunk=[chunk], a=[planes(often)], b=[beside.astype("<u2").tobytes()], c=[times.tobytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, chunk, sets, known, size = held("near-words", _WordHash), TaskContext.get().partitionId() << 24, [], {}, 0
@@ -191,8 +164,8 @@ def _describe(buckets: int, most: int, often_from: int):
                     if size >= most or len(sets) >= CHUNK_DOCS:
                         yield from dealt(chunk, sets)
                         chunk, sets, known, size = chunk + 1, [], {}, 0
-                yield _rows(
-                    len(ns), kind=[DOCUMENT] * len(ns), bucket=[(x * 2654435761 + k) % buckets for k, x in enumerate(chunks)], chunk=chunks, seq=seqs, n=ns,
+                yield rows(
+                    ROW_TYPES, len(ns), kind=[DOCUMENT] * len(ns), bucket=[spread(x + k, buckets) for k, x in enumerate(chunks)], chunk=chunks, seq=seqs, n=ns,
                     doc_id=batch.column("doc_id"), place=batch.column("place"), hi=[x[0] for x in names], lo=[x[1] for x in names],
                 )
         if sets:
@@ -216,7 +189,7 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row["bucket"] != bucket:
                 yield from _counted(parts)
                 bucket, parts = row["bucket"], []
-            parts.append((row["chunk"], _of_planes(row["a"]), _numbers(row["b"], "<u2"), _of_planes(row["d"]), _numbers(row["e"], "<u4")))
+            parts.append((row["chunk"], of_planes(row["a"]), numbers(row["b"], "<u2"), of_planes(row["d"]), numbers(row["e"], "<u4")))
     yield from _counted(parts)
     trim()
 
@@ -232,7 +205,7 @@ def _counted(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     weight = np.concatenate([np.ones(single, dtype=np.int64), *(x.astype(np.int64) for x in times)])
     order = np.argsort(flat)
     flat, weight = flat[order], weight[order]
-    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    first = run_starts(flat)
     total = np.add.reduceat(weight, first)
     counts = np.repeat(total, np.diff(np.append(first, len(flat))))
     keep = counts >= 2
@@ -244,10 +217,10 @@ def _counted(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(chunks), 200):
         some = [k for k in range(at, min(at + 200, len(chunks))) if cut[2 * k] < cut[2 * k + 2]]
         one, two = [slice(cut[2 * k], cut[2 * k + 1]) for k in some], [slice(cut[2 * k + 1], cut[2 * k + 2]) for k in some]
-        yield _rows(
-            len(some), kind=[FOUND] * len(some), chunk=[chunks[k] for k in some],
-            a=[_planes(flat[s]) for s in one], b=[owner[s].tobytes() for s in one], c=[counts[s].tobytes() for s in one],
-            d=[_planes(flat[s]) for s in two], e=[counts[s].tobytes() for s in two],
+        yield rows(
+            ROW_TYPES, len(some), kind=[FOUND] * len(some), chunk=[chunks[k] for k in some],
+            a=[planes(flat[s]) for s in one], b=[owner[s].tobytes() for s in one], c=[counts[s].tobytes() for s in one],
+            d=[planes(flat[s]) for s in two], e=[counts[s].tobytes() for s in two],
         )
 
 
@@ -257,22 +230,22 @@ ACTIVE = "node long, n int, center double, shingles binary"
 def _assemble(table: pa.Table) -> pa.Table:
     """The documents of a chunk that may have partners: shingles that others have too, rarest first."""
     chunk = table.column("chunk")[0].as_py()
-    rows = {k: table.filter(pa.array(np.asarray(table.column("kind")) == k)).to_pylist() for k in (FOUND, SIDE)}
+    of = {k: table.filter(pa.array(np.asarray(table.column("kind")) == k)).to_pylist() for k in (FOUND, SIDE)}
     docs = table.filter(pa.array(np.asarray(table.column("kind")) == DOCUMENT))
     seq, n = docs.column("seq").drop_null().to_numpy(), docs.filter(docs.column("seq").is_valid()).column("n").to_numpy()
     sizes = np.zeros(int(seq.max()) + 1 if len(seq) else 0, dtype=np.int64)
     sizes[seq] = n
-    flat = [_of_planes(x["a"]) for x in rows[FOUND]]
-    owner = [_numbers(x["b"], "<u2") for x in rows[FOUND]]
-    count = [_numbers(x["c"], "<u4") for x in rows[FOUND]]
-    often = np.concatenate([np.zeros(0, dtype=np.uint64), *(_of_planes(x["d"]) for x in rows[FOUND])])
-    times = np.concatenate([np.zeros(0, dtype="<u4"), *(_numbers(x["e"], "<u4") for x in rows[FOUND])])
+    flat = [of_planes(x["a"]) for x in of[FOUND]]
+    owner = [numbers(x["b"], "<u2") for x in of[FOUND]]
+    count = [numbers(x["c"], "<u4") for x in of[FOUND]]
+    often = np.concatenate([np.zeros(0, dtype=np.uint64), *(of_planes(x["d"]) for x in of[FOUND])])
+    times = np.concatenate([np.zeros(0, dtype="<u4"), *(numbers(x["e"], "<u4") for x in of[FOUND])])
     order = np.argsort(often)
     often, times = often[order], times[order]
-    for x in rows[SIDE]:
-        shingles, lengths = _of_planes(x["a"]), _numbers(x["c"], "<u4")
+    for x in of[SIDE]:
+        shingles, lengths = of_planes(x["a"]), numbers(x["c"], "<u4")
         flat.append(np.repeat(shingles, lengths))
-        owner.append(_numbers(x["b"], "<u2"))
+        owner.append(numbers(x["b"], "<u2"))
         count.append(np.repeat(times[np.searchsorted(often, shingles)], lengths))
     flat = np.concatenate([np.zeros(0, dtype=np.uint64), *flat])
     owner = np.concatenate([np.zeros(0, dtype=np.uint16), *owner]).astype(np.int64)
@@ -301,7 +274,7 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             batch = whole.slice(at, 1000)
-            sets = [_numbers(x, "<u8") for x in batch.column("shingles").to_pylist()]
+            sets = [numbers(x, "<u8") for x in batch.column("shingles").to_pylist()]
             n = batch.column("n").to_numpy().astype(np.int64)
             alone = n - np.array([len(x) for x in sets], dtype=np.int64)  # these come first in the order
             length = np.maximum(n - least_shared(n) + 1 - alone, 0)
@@ -319,7 +292,7 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shared = [shared_with(*(np.sort(_numbers(x, "<u8")) for x in p)) for p in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())]
+        shared = [shared_with(*(np.sort(numbers(x, "<u8")) for x in p)) for p in zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "cell", "n", "m")), pa.array(shared, type=pa.int64())], names=["node", "cell", "n", "m", "shared"])
 
 
@@ -366,7 +339,7 @@ def _joined(batches: Iterator[pa.RecordBatch], leaf: int) -> Iterator[pa.RecordB
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
             keys = list(zip(batch.column("cell").to_pylist(), batch.column("part").to_pylist()))
-            rows = list(zip(batch.column("class").to_pylist(), batch.column("n").to_pylist(), (np.sort(_numbers(x, "<u8")) for x in batch.column("shingles").to_pylist())))
+            rows = list(zip(batch.column("class").to_pylist(), batch.column("n").to_pylist(), (np.sort(numbers(x, "<u8")) for x in batch.column("shingles").to_pylist())))
             visitors = []
             for this, visitor, row in zip(keys, batch.column("visitor").to_pylist(), rows):
                 if this != key:

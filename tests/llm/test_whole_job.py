@@ -14,40 +14,31 @@ from test_operators import table, words
 
 
 def brute_losses(texts, chosen):
-    """Mean -log P of each text under the bigram model of the chosen texts; no count is left out."""
-    pairs = [list(zip([None, *words(t)], words(t))) for t in texts]
-    seen, mine = Counter(p for x in pairs for p in x), Counter(p for i in chosen for p in pairs[i])
-    vocabulary = {w for _, w in seen}
-    single, context, kinds = Counter(), Counter(), Counter()
-    for (v, w), n in mine.items():
-        single[w] += n
-        context[v] += n
-        kinds[v] += 1
-    total = sum(mine.values())
+    """Mean -log P of each text's events under the bigram model of the chosen texts; no count is left out."""
+    pairs = [list(zip(["<", *words(t)], [*words(t), ">"])) if words(t) else [] for t in texts]
+    vocabulary = {w for x in pairs for _, w in x}  # with the end
+    mine = Counter(p for i in chosen for p in pairs[i])
+    after = Counter(v for i in chosen for v, _ in pairs[i])
 
     def loss(v, w):
-        p = (single[w] + 0.5) / (total + 0.5 * len(vocabulary))
-        if context[v]:
-            p = max(mine[v, w] - 0.75, 0) / context[v] + 0.75 * kinds[v] / context[v] * p
-        return -math.log(p)
+        return -math.log((mine[v, w] or 1 / len(vocabulary)) / (after[v] + 1))
 
     return [sum(loss(*p) for p in x) / len(x) if x else None for x in pairs]
 
 
-@pytest.mark.parametrize("near", [0, 5, 10_000])
-def test_every_word_and_bigram_is_in_the_models(spark, monkeypatch, near):
-    monkeypatch.setattr(lm_score, "NEAR_WORDS", near, raising=False)
-    monkeypatch.setattr(lm_score, "NEAR_PAIRS", near, raising=False)
+@pytest.mark.parametrize("chunk, often", [(50, 2), (200, 5), (lm_score.CHUNK, lm_score.OFTEN)])
+def test_every_word_and_bigram_is_in_the_models(spark, chunk, often):
     rng = random.Random(8)
     texts = [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(1, 40))) for _ in range(60)] + ["", None]
     chosen = range(20)
-    docs = table(spark, texts).repartition(3)
-    target = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
-    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, target).collect()}
+    ids = [*range(60), None, 7]  # a null id, and an id of two rows
+    docs = table(spark, texts, ids).repartition(3)
+    target = spark.createDataFrame([(i,) for i in chosen] + [(None,), (3,)], "doc_id long")
+    got = {(r.doc_id, r.n_tokens): r for r in lm_score.cross_entropy_difference(docs, target, chunk=chunk, often=often).collect()}
     assert len(got) == len(texts)
-    for i, (t, b) in enumerate(zip(brute_losses(texts, chosen), brute_losses(texts, range(len(texts))))):
-        assert got[i].target_loss == (t if t is None else pytest.approx(t, abs=1e-6))
-        assert got[i].background_loss == (b if b is None else pytest.approx(b, abs=1e-6))
+    for i, n, t, b in zip(ids, (len(words(x)) for x in texts), brute_losses(texts, chosen), brute_losses(texts, range(len(texts)))):
+        assert got[i, n].target_loss == (t if t is None else pytest.approx(t, abs=1e-6))
+        assert got[i, n].background_loss == (b if b is None else pytest.approx(b, abs=1e-6))
 
 
 def test_every_target_document_is_counted(spark):
