@@ -68,6 +68,22 @@ BASKETS = {
         _field("flag", "string", mapping={"spark": "items.flag"}, elemMatch="items"),
     ],
 }
+PLACES = {
+    "entity": "Place",
+    "backends": {"spark": {"table": "places"}},
+    "fields": [
+        _field("id", "number", mapping={"spark": "s_suppkey"}),
+        _field("name", "string", mapping={"spark": "s_name"}),
+        _field("nation", "number", mapping={"spark": "place.nation"}),
+        _field("balance", "number", mapping={"spark": "place.account.balance"}),
+    ],
+}
+PAIRS = {
+    "entity": "Pair",
+    "backends": {"spark": {"table": "pairs"}},
+    "fields": [*BASKETS["fields"], _field("tax", "number", mapping={"spark": "taxes.rate"}, elemMatch="taxes")],
+}
+LIMITED = ORDERS | {"defaults": {"limit": 7, "maxLimit": 30}}
 EVENTS = {
     "entity": "Event",
     "backends": {"spark": {"table": "events"}},
@@ -139,22 +155,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "baskets":
         item = F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
         return read("lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    if name == "places":
+        place = F.struct(F.col("s_nationkey").alias("nation"), F.struct(F.col("s_acctbal").alias("balance")).alias("account"))
+        return read("supplier").select("s_suppkey", "s_name", place.alias("place"))
+    if name == "pairs":
+        item = F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("flag"))
+        return read("lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"), F.collect_list(F.struct(F.col("l_tax").alias("rate"))).alias("taxes"))
     if name == "events-large":
         return read("events").filter("value > 10")
     base, _, rest = name.partition("-")
     if base == "events" and rest not in ("", "all"):
         return read("events").filter(F.col("event_type") == rest)
     if base == "orders" and rest not in ("", "all"):
-        return read("orders").filter(F.date_format("o_orderdate", "yyyy-MM") == rest)
+        begin = datetime.strptime(rest, "%Y-%m")
+        end = datetime(begin.year + begin.month // 12, begin.month % 12 + 1, 1)
+        at = F.col("o_orderdate")  # bounds that reach the scan
+        return read("orders").filter((at >= F.lit(begin).cast("timestamp_ntz")) & (at < F.lit(end).cast("timestamp_ntz")))
     return read(base)
 
 
-def run(config: dict, tree: Node = None, select: tuple = (), sort: tuple = (), limit=None, offset=None, scope=None, table: str | None = None):
+def run(config: dict, tree: Node = None, select: tuple = (), sort: tuple = (), limit=None, offset=None, scope=None, table: str | None = None, now: datetime = NOW):
     """A registered query: the engine over the tables of a directory."""
     config = config | {"backends": {"spark": {"table": table}}} if table else config
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        engine = Engine(config, spark, lambda name: _table(spark, sf_dir, name), now=lambda: NOW)
+        engine = Engine(config, spark, lambda name: _table(spark, sf_dir, name), now=lambda: now)
         return engine.query(Query(config["entity"], select=select, filter=tree, sort=tuple(Sort(*s) for s in sort), limit=limit, offset=offset), scope)
 
     return query
@@ -191,10 +216,8 @@ _orders("op_equals", where("status", "equals", "F"), "o_orderstatus = 'F'")
 _orders("op_not_equals", where("status", "notEquals", "F"), "o_orderstatus <> 'F'")
 _orders("op_in", where("status", "in", ["F", "P"]), "o_orderstatus IN ('F', 'P')")
 _orders("op_not_in", where("status", "notIn", ["F", "P"]), "o_orderstatus NOT IN ('F', 'P')")
-_orders("op_gt", where("total", "gt", 250000.5), "o_totalprice > 250000.5")
-_orders("op_gte", where("total", "gte", 250000), "o_totalprice >= 250000")
-_orders("op_lt", where("total", "lt", 100000), "o_totalprice < 100000")
-_orders("op_lte", where("total", "lte", 100000), "o_totalprice <= 100000")
+for _key, _operator, _sign in (("op_gt", "gt", ">"), ("op_gte", "gte", ">="), ("op_lt", "lt", "<"), ("op_lte", "lte", "<=")):
+    _orders(_key, where("customer", _operator, 70), f"o_custkey {_sign} 70")  # orders of customer 70 are on the bound
 _orders("op_between", where("total", "between", [100000, 150000]), "o_totalprice BETWEEN 100000 AND 150000")
 _orders("op_equals_whole_number", where("id", "equals", 77), "o_orderkey = 77")
 _orders("op_between_reversed", where("total", "between", [150000, 100000]), "o_totalprice BETWEEN 150000 AND 100000")
@@ -207,7 +230,11 @@ _orders("op_before", where("placed", "before", _date("1996-01-01")), "o_orderdat
 _orders("op_after", where("placed", "after", _date("2001-01-01T00:00:00Z")), "o_orderdate >= TIMESTAMP '2001-01-01'")
 _orders("op_equals_date", where("placed", "equals", _date("1996-01-02")), "o_orderdate = TIMESTAMP '1996-01-02'")
 _add("op_relative_date", run(EVENTS, where("at", "after", ago(-7, "day"))), "SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-24'")
-_add("op_relative_month", run(EVENTS, where("at", "before", ago(-1, "month"))), "SELECT * FROM events WHERE ts <= TIMESTAMP '2023-12-31'")
+_add(
+    "op_relative_month",
+    run(EVENTS, where("at", "before", ago(-1, "month")), now=datetime(2024, 2, 12)),
+    "SELECT * FROM events WHERE ts <= TIMESTAMP '2024-01-12'",
+)
 _PART = "SELECT p_partkey, p_name FROM part WHERE "
 _SHOWN = ("id", "name")
 for _key, _tree, _condition in (
@@ -258,6 +285,23 @@ for _key, _tree, _condition in (
     ("nested_not", negate(where("flag", "equals", "R")), "NOT EXISTS " + _LINE.format("m.l_returnflag = 'R'")),
 ):
     _add(_key, run(BASKETS, _tree, select=("order",)), _LINES + _condition)
+_add(
+    "nested_two_arrays",
+    run(PAIRS, all_of(where("quantity", "gte", 45), where("tax", "equals", 0)), select=("order",)),
+    _LINES + f"EXISTS {_LINE.format('m.l_quantity >= 45')} AND EXISTS {_LINE.format('m.l_tax = 0')}",
+)
+_add(
+    "struct_path",
+    run(PLACES, all_of(where("nation", "in", [1, 7]), where("balance", "gt", 0)), select=("id", "name")),
+    "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (1, 7) AND s_acctbal > 0",
+)
+_add(
+    "struct_path_sort",
+    run(PLACES, select=("id",), sort=(("balance", "DESC"), ("id",)), limit=9),
+    "SELECT s_suppkey FROM supplier ORDER BY s_acctbal DESC NULLS FIRST, s_suppkey LIMIT 9",
+)
+_add("limit_default", run(LIMITED, sort=(("id",),)), "SELECT * FROM orders ORDER BY o_orderkey LIMIT 7")
+_add("limit_zero_is_the_ceiling", run(LIMITED, sort=(("id",),), limit=0), "SELECT * FROM orders ORDER BY o_orderkey LIMIT 30")
 _orders(
     "logic_and",
     all_of(where("status", "equals", "O"), where("total", "lt", 50000)),
@@ -285,6 +329,9 @@ for _key, _tree, _condition in (
     ("ci_in", where("segment", "in", ["Building", "machinery"]), "lower(c_mktsegment) IN ('building', 'machinery')"),
     ("ci_not_in", where("segment", "notIn", ["Building", "machinery"]), "lower(c_mktsegment) NOT IN ('building', 'machinery')"),
     ("ci_contains", where("segment", "contains", "uTo"), "contains(lower(c_mktsegment), 'uto')"),
+    ("ci_not_equals", where("segment", "notEquals", "building"), "lower(c_mktsegment) <> 'building'"),
+    ("ci_starts_with", where("segment", "startsWith", "mAch"), "starts_with(lower(c_mktsegment), 'mach')"),
+    ("ci_ends_with", where("segment", "endsWith", "HOLD"), "ends_with(lower(c_mktsegment), 'hold')"),
     ("value_case_upper", where("segmentUpper", "equals", "building"), "c_mktsegment = 'BUILDING'"),
     ("proj_hidden_default", where("balance", "gt", 0), "c_acctbal > 0"),
 ):
@@ -329,6 +376,11 @@ _add(
     run(MONTHS, where("placed", "between", Value("array", ["1996-01-10", "1996-03-05"]))),
     "SELECT * FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-10' AND TIMESTAMP '1996-03-05'",
 )
+_add(
+    "route_date_open_range",
+    run(MONTHS, where("placed", "after", _date("2001-07-01"))),
+    "SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-01'",
+)
 _add(
     "route_rules",
     run(RULES, all_of(where("kind", "equals", "error"), where("value", "gt", 12))),

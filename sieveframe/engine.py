@@ -17,11 +17,11 @@ from .observe import Event, Observer, raw_excerpt
 from .operators.dataframe import compile_query
 from .plans.ast import Compare, Query
 from .plans.explain import explain, warnings
-from .plans.scope import apply_scope, normalise
+from .plans.scope import InvalidScope, apply_scope, normalise
 from .plans.validate import ValidationFailed, problems_of, validate
 from .planner import parse_reply, repair_hint, system_prompt
-from .providers import Fallback, Provider, provider_of
-from .sources.config import Config, load_config
+from .providers import Fallback, Provider, ProviderError, provider_of
+from .sources.config import Config, ConfigError, load_config
 from .sources.routing import Resolved, resolve_source
 from .sources.tables import lookup, union_of
 
@@ -78,6 +78,19 @@ class Translation:
         return self.compiled.df
 
 
+def _outcome(error: Exception) -> str:
+    """How a translation that failed with ``error`` ended; parse and validation errors come here when no attempt is left."""
+    if isinstance(error, Unsupported):
+        return "refusal"
+    if isinstance(error, (ModelOutput, ValidationFailed)):
+        return "budget_exhausted"
+    if isinstance(error, (UnknownBackend, InvalidScope, ConfigError)):
+        return "caller_error"
+    if isinstance(error, (ProviderError, TimeoutError)):
+        return "transport_error"
+    return "generate_error"
+
+
 class Engine:
     def __init__(
         self,
@@ -151,10 +164,8 @@ class Engine:
         try:
             out, attempts = self._translate(text, backend, scope, None if timeout is None else began + timeout, about)
         except Exception as e:
-            refused = isinstance(e, Unsupported)
-            self._tell(
-                Event("translate", "refused" if refused else "error", duration=time.monotonic() - began, failure=code_of(e), error="" if refused else type(e).__name__, **about)
-            )
+            outcome = _outcome(e)
+            self._tell(Event("translate", outcome, duration=time.monotonic() - began, failure=code_of(e), error="" if outcome == "refusal" else type(e).__name__, **about))
             raise
         self._tell(
             Event(
@@ -175,21 +186,31 @@ class Engine:
             start = time.monotonic()
             try:
                 reply = self.provider.complete(system, f"{text}\n\n{hint}" if hint else text, deadline)
-            except Exception:
-                self._tell(Event("model_call", "transport", attempt=number, duration=time.monotonic() - start, provider=self.provider.name, model=self.provider.model, **about))
+            except Exception as e:
+                kind, status, retries = (getattr(e, "kind", None), getattr(e, "status", 0), getattr(e, "retries", 0))
+                self._tell(
+                    Event(
+                        "model_call", "transport_error", attempt=number, duration=time.monotonic() - start, provider=self.provider.name, model=self.provider.model,
+                        error_kind=kind.value if kind else "", status=status, retries=retries, **about,
+                    )
+                )
                 raise
             self._tell(
                 Event(
                     "model_call", attempt=number, duration=time.monotonic() - start, provider=self.provider.name, model=self.provider.model,
-                    prompt_tokens=reply.prompt_tokens, completion_tokens=reply.completion_tokens, total_tokens=reply.total_tokens, **about,
+                    prompt_tokens=reply.prompt_tokens, completion_tokens=reply.completion_tokens, total_tokens=reply.total_tokens,
+                    finish_reason=reply.finish_reason, retries=reply.retries, **about,
                 )
             )
             try:
                 q = parse_reply(reply.text, self.config)
                 validate(q, self.config)
+            except Unsupported as e:
+                self._tell(Event("attempt", "refusal", attempt=number, failure=code_of(e), **about))
+                raise
             except (ModelOutput, ValidationFailed) as e:
                 codes = tuple(p.code for p in e.problems) if isinstance(e, ValidationFailed) else ()
-                outcome = "invalid" if codes else "unparsable"
+                outcome = "validation_error" if codes else "parse_error"
                 self._tell(Event("attempt", outcome, attempt=number, problem_codes=codes, raw=raw_excerpt(reply.text), failure=code_of(e), **about))
                 if number > self.max_repairs:
                     raise

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 #: Outcomes of a step, and the most of a raw reply that an event carries.
-OUTCOMES = ("ok", "refused", "invalid", "unparsable", "transport", "generate", "timeout", "error")
+OUTCOMES = ("ok", "parse_error", "validation_error", "refusal", "transport_error", "budget_exhausted", "caller_error", "generate_error")
 RAW_LIMIT = 4096
 
 
@@ -28,6 +28,10 @@ class Event:
     prompt_tokens: int = 0
     completion_tokens: int = 0
     total_tokens: int = 0
+    finish_reason: str = ""
+    retries: int = 0  # calls of the provider that failed before this one ended
+    error_kind: str = ""
+    status: int = 0  # of the provider's last answer that was an error
     problem_codes: tuple[str, ...] = ()
     scope_keys: tuple[str, ...] = ()
     warnings: int = 0
@@ -54,7 +58,7 @@ def log_events(logger: logging.Logger | None = None) -> Observer:
 
     def put(e: Event) -> None:
         if e.kind == "translate":
-            level = logging.INFO if e.outcome in ("ok", "refused") else logging.ERROR
+            level = logging.INFO if e.outcome in ("ok", "refusal") else logging.ERROR
         else:
             level = logging.DEBUG if e.outcome == "ok" else logging.WARNING
         log.log(level, "%s %s entity=%s backend=%s attempt=%d %.1fms %s", e.kind, e.outcome, e.entity, e.backend, e.attempt, 1000 * e.duration, e.failure)

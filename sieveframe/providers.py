@@ -9,7 +9,9 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import datetime, timezone
+from email.utils import parsedate_to_datetime
 from enum import Enum
 from typing import Protocol
 
@@ -55,9 +57,9 @@ class Kind(Enum):
 
 
 class ProviderError(RuntimeError):
-    def __init__(self, kind: Kind, message: str, wait: float | None = None):
+    def __init__(self, kind: Kind, message: str, wait: float | None = None, status: int = 0):
         super().__init__(message)
-        self.kind, self.wait = kind, wait
+        self.kind, self.wait, self.status, self.retries = kind, wait, status, 0
 
 
 @dataclass(frozen=True)
@@ -66,6 +68,8 @@ class Reply:
     prompt_tokens: int = 0
     completion_tokens: int = 0
     total_tokens: int = 0
+    finish_reason: str = ""
+    retries: int = 0
 
 
 class Provider(Protocol):
@@ -103,6 +107,18 @@ def kind_of_status(status: int) -> Kind:
     return Kind.UNAVAILABLE if status >= 500 else Kind.BAD_REQUEST
 
 
+def seconds_to_wait(header: str, now: datetime | None = None) -> float | None:
+    """Retry-After: a number of seconds, or a date."""
+    if header.strip().isdigit():
+        return float(header)
+    try:
+        at = parsedate_to_datetime(header)
+    except ValueError:
+        return None
+    at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+    return max(0.0, (at - (now or datetime.now(timezone.utc))).total_seconds())
+
+
 class Http:
     """A chat endpoint; ``protocol`` is openai or anthropic."""
 
@@ -139,8 +155,8 @@ class Http:
             with urllib.request.urlopen(self._request(system, user), timeout=left) as got:
                 raw = got.read()
         except urllib.error.HTTPError as e:
-            wait = e.headers.get("Retry-After", "") if e.headers else ""
-            raise ProviderError(kind_of_status(e.code), f"status {e.code}", float(wait) if wait.isdigit() else None) from None
+            wait = seconds_to_wait(e.headers.get("Retry-After", "") if e.headers else "")
+            raise ProviderError(kind_of_status(e.code), f"status {e.code}", wait, e.code) from None
         except TimeoutError as e:
             raise ProviderError(Kind.TIMEOUT, "no answer in time") from e
         except OSError as e:
@@ -151,9 +167,10 @@ class Http:
             if self.protocol == "anthropic":
                 text = "".join(p.get("text", "") for p in x["content"])
                 n, m = use.get("input_tokens", 0), use.get("output_tokens", 0)
-                return Reply(text, n, m, n + m)
-            text = x["choices"][0]["message"]["content"] or ""
-            return Reply(text, use.get("prompt_tokens", 0), use.get("completion_tokens", 0), use.get("total_tokens", 0))
+                return Reply(text, n, m, n + m, x.get("stop_reason") or "")
+            first = x["choices"][0]
+            text = first["message"]["content"] or ""
+            return Reply(text, use.get("prompt_tokens", 0), use.get("completion_tokens", 0), use.get("total_tokens", 0), first.get("finish_reason") or "")
         except (ValueError, KeyError, IndexError, TypeError, AttributeError) as e:
             raise ProviderError(Kind.BAD_RESPONSE, "the answer has an unknown form") from e
 
@@ -168,8 +185,9 @@ class Retrying:
     def complete(self, system: str, user: str, deadline: float | None = None) -> Reply:
         for number in range(self.tries):
             try:
-                return self.inner.complete(system, user, deadline)
+                return replace(self.inner.complete(system, user, deadline), retries=number)
             except ProviderError as e:
+                e.retries = number
                 step = min(self.first * 2**number, LONGEST_WAIT)
                 wait = e.wait if e.wait is not None else step / 2 + random.random() * step / 2
                 late = deadline is not None and time.monotonic() + wait >= deadline

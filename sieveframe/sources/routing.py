@@ -8,15 +8,12 @@ operator implies it, so a routed query never loses rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import date, datetime
 
 from ..functions.literals import BadLiteral, parse_date, relative_date
 from ..plans.ast import Compare, Query, conjuncts
 from .config import Config, Routing, Source, When, is_index_name
 
-#: Partitions that one range of dates may name before the query falls back to the default.
-MAX_PARTITIONS = 1000
-
 
 class RoutingError(ValueError):
     """Routing that has no single answer, or names an impossible table."""
@@ -100,17 +97,18 @@ def _by_date(q: Query, routing: Routing, now: datetime) -> tuple[str, ...]:
         return routing.default
     if None in ends:
         return routing.default
-    at, last = min(ends), max(ends)
-    form = {"YEAR": "%Y", "MONTH": "%Y-%m", "DAY": "%Y-%m-%d"}[routing.granularity]
-    names: dict[str, None] = {}
-    if (last - at).days > 366 * MAX_PARTITIONS:
-        return routing.default
-    while at.date() <= last.date() and len(names) <= MAX_PARTITIONS:
-        names[f"{at.year:04d}" + at.strftime(form)[len(at.strftime("%Y")) :]] = None
-        at = at.replace(hour=0, minute=0, second=0, microsecond=0) + timedelta(days=1)
-    if len(names) > MAX_PARTITIONS:
-        return routing.default
-    return tuple(_named(routing, n) for n in names)
+    return tuple(_named(routing, label) for label in partitions(min(ends), max(ends), routing.granularity))
+
+
+def partitions(first: datetime, last: datetime, granularity: str) -> list[str]:
+    """The labels of all years, months or days from ``first`` to ``last``, both included, however many there are."""
+    if granularity == "YEAR":
+        return [f"{year:04d}" for year in range(first.year, last.year + 1)]
+    if granularity == "MONTH":
+        months = range(first.year * 12 + first.month - 1, last.year * 12 + last.month)
+        return [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in months]
+    days = range(first.toordinal(), last.toordinal() + 1)
+    return [date.fromordinal(d).isoformat() for d in days]
 
 
 def route(q: Query, config: Config, routing: Routing, now: datetime) -> tuple[str, ...]:
