@@ -91,6 +91,8 @@ class ChunkEncoder:
         # Whether the tokenizer lower-cases, and whether the space before a word is part of its token.
         self.lower = self._plain_ids("A") == self._plain_ids("a")
         self.spaced = self._plain_ids(" a") != self._plain_ids("a")
+        # Where white space leaves no trace, words are chunks, whatever stands between them.
+        self.cut = str.split if self._plain_ids(" a \n\n\tb ") == self._plain_ids("a b") else chunks_of
 
     def _plain_ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -100,8 +102,6 @@ class ChunkEncoder:
 
     def _word(self, word: str, space: bool) -> bytes:
         """The ids of PLAIN letters, with or without a space before them."""
-        if self.lower:
-            word = word.lower()
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(STAND_IN)
         packed = self.packed
@@ -113,6 +113,8 @@ class ChunkEncoder:
         end = found.end() if found else at
         if not found or end < len(key) and not MARKS.fullmatch(key, end):
             return self._ids(chunk_of(key))
+        if self.lower and (low := key.lower()) != key:
+            return self.known[low]
         # The line end, the letters and the marks are pre-tokens of their own.
         if end == len(key) and key[0] != "\n":
             return self._word(key[at:], not at)
@@ -139,7 +141,7 @@ class ChunkEncoder:
                 out.append(self._ids(text))
             else:
                 get = self.known.__getitem__
-                out.append(b"".join([b"".join(map(get, chunks_of(piece))) for piece in pieces(text)]))
+                out.append(b"".join([b"".join(map(get, self.cut(piece))) for piece in pieces(text)]))
         return out
 
 
