@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -42,9 +43,38 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that each tidy() function under way has made.
+_made: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own for one table in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def tidy(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The function, without the scratch tables it made that its result does not read."""
+
+    @wraps(function)
+    def run(*args, **options) -> DataFrame:
+        _made.append([])
+        try:
+            out = function(*args, **options)
+        finally:
+            made = _made.pop()
+        read = out.inputFiles()
+        for path in made:
+            if any(path in file for file in read):
+                if _made:  # for the function around this one to delete
+                    _made[-1].append(path)
+            else:
+                delete(out.sparkSession, path)
+        return out
+
+    return run
 
 
 @contextmanager
@@ -76,7 +106,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete a table that materialise() wrote, once nothing reads it any more."""
+    """Delete a table that materialise() wrote before its function ends, once nothing reads it any more."""
     path = getattr(df, "_scratch", None)
     if path:
         delete(df.sparkSession, path)
@@ -159,6 +189,7 @@ def placed(docs: DataFrame) -> DataFrame:
     return _located(docs.select(*(c for c in docs.columns if c.lower() in READ)), "place")
 
 
+@tidy
 def without(docs: DataFrame, found: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """``docs`` without the rows whose ``place`` is in ``found`` of its placed() form; all its columns as they are."""
     own = free_name(docs, "place")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WHITE, forget, materialise, placed, scratch_path, settings, text_or_empty, without
+from .common import WHITE, forget, materialise, placed, scratch_path, settings, text_or_empty, tidy, without
 
 STATE = "digest binary, keep_id long, locator string, arrivals long"
 #: A row with a null identifier is ordered after all others.
@@ -64,6 +64,7 @@ def latest(spark: SparkSession, index: str) -> DataFrame:
     )
 
 
+@tidy
 def dedup_rows(docs: DataFrame, digest=lambda text: F.unhex(F.sha2(text, 256)), per_batch: int | None = None) -> DataFrame:
     """exact_dedup() with the column ``place`` beside it; ``docs`` comes from placed()."""
     spark = docs.sparkSession
@@ -116,6 +117,7 @@ def dedup_rows(docs: DataFrame, digest=lambda text: F.unhex(F.sha2(text, 256)),
     return alone.unionByName(hit_rows)
 
 
+@tidy
 def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, digest.
 

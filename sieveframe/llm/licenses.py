@@ -14,7 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialise, text_or_empty
+from .common import materialise, text_or_empty, tidy
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -117,6 +117,7 @@ def _places(hits: str, phrase: str) -> Column:
     return F.transform(starts, lambda i: F.col(hits)[i]["pos"])
 
 
+@tidy
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, looked_up: int = LOOKED_UP, coverage: float = COVERAGE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, found.
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .blobs import mix, numbers, of_planes, planes, rows, run_starts, spread
-from .common import WORD_BYTES, materialise, text_or_empty, trim
+from .common import WORD_BYTES, materialise, text_or_empty, tidy, trim
 from .ngrams import Numbers, slices
 
 ESCAPE = 1.0
@@ -223,6 +223,7 @@ def _near_targets(ids: DataFrame) -> np.ndarray:
     return bits
 
 
+@tidy
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, chunk: int = CHUNK, often: int = OFTEN) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score.
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .blobs import mix, numbers, of_planes, planes, rows, run_starts, spread
-from .common import LOWER_BYTES, byte_values, forget, held, materialise, placed, trim, without
+from .common import LOWER_BYTES, byte_values, forget, held, materialise, placed, tidy, trim, without
 from .graph import components
 from .regions import LEAF, Region, shared_with
 
@@ -424,6 +424,7 @@ def _visits(posted: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
+@tidy
 def near_classes(docs: DataFrame, chunk: int = CHUNK, often: int = OFTEN, crowd: int = CROWD, leaf: int = LEAF) -> DataFrame:
     """One row per row of ``docs`` (which comes from placed()): doc_id, place, n_shingles, component_id, first.
 
@@ -480,6 +481,7 @@ def near_classes(docs: DataFrame, chunk: int = CHUNK, often: int = OFTEN, crowd:
     )
 
 
+@tidy
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     """near_classes() of any table: doc_id, n_shingles, component_id."""
     return near_classes(placed(docs), **options).select("doc_id", "n_shingles", "component_id")

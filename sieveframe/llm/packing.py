@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import tokens
-from .common import list_column, materialise, text_or_empty, trim
+from .common import list_column, materialise, text_or_empty, tidy, trim
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, part int, bucket int, rank long, ids_crc32 long, ids array<int>"
 
@@ -66,6 +66,7 @@ def _cut(tokenizer: str, end_id: int, longest: int):
     return run
 
 
+@tidy
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, longest: int = 2048) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, bucket, sequence_id, offset, ids_crc32 (of the ids
     as little-endian 32-bit integers), ids.

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import free_name, materialise
+from .common import free_name, materialise, tidy
 
 SIGN = -(1 << 63)
 DIGIT = 8
@@ -77,6 +77,7 @@ def _search(rows: DataFrame, key: str, size: str, targets: dict[int, int], top:
     return done | {n: (p, below, False) for n, (p, below) in open_at.items()}
 
 
+@tidy
 def histogram_shards(
     docs: DataFrame,
     n_shards: int,

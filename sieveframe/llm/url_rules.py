@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise
+from .common import materialise, tidy
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -123,6 +123,7 @@ def mine_rules(pages: DataFrame, min_pages: int = 5, min_confidence: float = 0.9
     return sure.join(redundant, "items", "left_anti")
 
 
+@tidy
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame | None = None, **mining) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, and the mined rule that is surest of it.
 

@@ -411,11 +411,6 @@ def test_cross_entropy_difference(spark):
     assert lm_score.cross_entropy_difference(docs.limit(0), target).count() == 0
 
 
-def test_folders_come_from_the_session(spark):
-    assert common.shared_folder(spark) == common.shared_folder(spark)
-    assert common.scratch_path(spark, "x") != common.scratch_path(spark, "x")
-
-
 @pytest.mark.parametrize("leaf", [2, 10, 1000])
 def test_partners_within_a_region(leaf):
     rng = np.random.default_rng(leaf)
