@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveframe.llm import decontaminate, exact_dedup, near_dup, packing, quality, tokens
-from sieveframe.llm.common import scratch_path, table
+from sieveframe.llm.common import scratch_path, table, tidy
 from sieveframe.llm.queries import trusted_labels
 
 
@@ -45,10 +45,12 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: A language model, a tokenizer and a link graph: SQL cannot express these stages; tests hold them against brute force.
+#: A language model, a tokenizer and a link graph: SQL cannot express these stages. tests/llm/test_pipeline.py holds each
+#: stage, and the whole, against plain Python.
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES, 1):
