@@ -7,20 +7,21 @@ scanned once, from end to end.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD_BYTES, byte_values, without
+from .common import WORD_BYTES, byte_values, trim, without
 
 WORD = re.compile(rb"[^ ]+")
 #: A benchmark of more bytes than this is scanned for shard by shard; every shard's automaton fits a worker.
 SHARD_BYTES = 8 << 20
 
-HITS = "place string, doc_id long, n_words long, starts array<long>, ends array<long>, items array<array<string>>"
+#: n_words; the runs of words that lie inside occurrences (first word, word after the last; apart, in order), the bytes
+#: of the original text they stand in, and the ids of the items with occurring windows, sorted.
+HITS = "place string, doc_id long, n_words long, starts array<long>, ends array<long>, from_byte array<long>, to_byte array<long>, items array<string>"
 
 _automata: dict[int, object] = {}
 
@@ -64,6 +65,30 @@ def scan(automaton, folded: bytes) -> list[tuple[int, int, tuple[str, ...]]]:
     return found
 
 
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs of words that the spans cover together, apart and in order."""
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(spans):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(last, out[-1][1]))
+        else:
+            out.append((first, last))
+    return out
+
+
+def _row(text: bytes, n_words: int, spans: list[tuple[int, int]], items: list[str]) -> tuple:
+    spans = united(spans)
+    places = original_spans(text, [a for a, _ in spans], [b for _, b in spans]) if spans else []
+    return n_words, [a for a, _ in spans], [b for _, b in spans], [a for a, _ in places], [b for _, b in places], items
+
+
+def _batch(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    longs, names = pa.list_(pa.int64()), ["n_words", "starts", "ends", "from_byte", "to_byte", "items"]
+    kinds = [pa.int64(), longs, longs, longs, longs, pa.list_(pa.string())]
+    columns = [pa.array([r[k] for r in rows], type=t) for k, t in enumerate(kinds)]
+    return pa.RecordBatch.from_arrays([batch.column("place"), batch.column("doc_id"), *columns], names=["place", "doc_id", *names])
+
+
 def _search(shared, key: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _automata:
@@ -76,24 +101,29 @@ def _search(shared, key: int, size: int):
                 rows = []
                 for text in byte_values(batch.column("text")):
                     folded = fold(text)
-                    rows.append(((folded.count(b" ") + 1) if folded else 0, scan(automaton, folded)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("place"),
-                        batch.column("doc_id"),
-                        pa.array([n for n, _ in rows], type=pa.int64()),
-                        pa.array([[x[0] for x in f] for _, f in rows], type=pa.list_(pa.int64())),
-                        pa.array([[x[1] for x in f] for _, f in rows], type=pa.list_(pa.int64())),
-                        pa.array([[list(x[2]) for x in f] for _, f in rows], type=pa.list_(pa.list_(pa.string()))),
-                    ],
-                    names=["place", "doc_id", "n_words", "starts", "ends", "items"],
-                )
+                    found = scan(automaton, folded)
+                    # Windows share their tuple of items, so each tuple is looked into once.
+                    items = sorted({item for ids in {id(x[2]): x[2] for x in found}.values() for item in ids})
+                    rows.append(_row(text, (folded.count(b" ") + 1) if folded else 0, [x[:2] for x in found], items))
+                yield _batch(batch, rows)
+        trim()
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose runs come from several automata, with those that meet as one."""
+    for batch in batches:
+        rows = []
+        for n, *runs, items in zip(*(batch.column(c).to_pylist() for c in ("n_words", "starts", "ends", "from_byte", "to_byte", "items"))):
+            bytes_of = dict(zip(runs[0], runs[2])), dict(zip(runs[1], runs[3]))
+            spans = united(list(zip(runs[0], runs[1])))
+            rows.append((n, [a for a, _ in spans], [b for _, b in spans], [bytes_of[0][a] for a, _ in spans], [bytes_of[1][b] for _, b in spans], sorted(set(items))))
+        yield _batch(batch, rows)
+
+
 def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = 13, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per row of ``docs`` (from placed()): place, doc_id, n_words, starts, ends, items.
+    """One row per row of ``docs`` (from placed()), with the columns of HITS.
 
     A benchmark of up to ``shard_bytes`` (its bytes are counted first) is one shard with one automaton.
     """
@@ -110,49 +140,34 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, size: int = 13, shard_by
         found = one if found is None else found.unionByName(one)
     if shards == 1:
         return found
-    return found.groupBy("place").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends", "items")),
+    runs = ("starts", "ends", "from_byte", "to_byte", "items")
+    together = found.groupBy("place").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in runs)
     )
-
-
-def _judged(starts: list[int], ends: list[int], items: list[list[str]]) -> tuple[int, int, str]:
-    hit, reach = 0, 0
-    for a, b in sorted(zip(starts, ends)):
-        hit += max(0, b - max(a, reach))
-        reach = max(reach, b)
-    ids = sorted({i for group in items for i in group})
-    return hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()
+    return together.mapInArrow(_merged, HITS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, share: int = 20, **options) -> DataFrame:
-    """One row per row of ``docs`` (from placed()): place, doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per row of ``docs`` (from placed()): place, doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     Reads doc_id and text of ``docs``, item_id and text of ``benchmark``, ignores further columns. A document is
     contaminated when some word lies inside a window of ``size`` benchmark words and such words are at least one in
-    ``share``. Null and empty texts have no words; items without words have no windows; a null item id counts as the
-    empty string; repeated rows keep a row each; empty tables give an empty result or no hits.
+    ``share``. ``spans`` are the bytes of the original UTF-8 text (from, to) in which such words stand, run by run.
+    Null and empty texts have no words; items without words have no windows; a null item id counts as the empty string;
+    repeated rows keep a row each; empty tables give an empty result or no hits.
     """
-    kinds = "place string, doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("starts", "ends", "items")]
-            judged = [_judged(*x) for x in zip(*columns)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in ("place", "doc_id", "n_words")),
-                    pa.array([x[0] for x in judged], type=pa.int64()),
-                    pa.array([x[1] for x in judged], type=pa.int64()),
-                    pa.array([x[2] for x in judged], type=pa.string()),
-                ],
-                names=["place", "doc_id", "n_words", "n_hit", "n_items", "items_sha256"],
-            )
-
+    hit = F.aggregate(F.zip_with("ends", "starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     return (
         find_windows(docs, benchmark, size, **options)
-        .mapInArrow(run, kinds)
+        .select(
+            "place",
+            "doc_id",
+            "n_words",
+            hit.alias("n_hit"),
+            F.size("items").cast("long").alias("n_items"),
+            F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+            F.arrays_zip(F.col("from_byte").alias("from"), F.col("to_byte").alias("to")).alias("spans"),
+        )
         .withColumn("contaminated", F.expr(f"n_hit > 0 AND {share} * n_hit >= n_words"))
     )
 
@@ -162,7 +177,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     return without(docs, lambda located: decontaminate(located, benchmark, **options).filter("contaminated"), "contaminated")
 
 
-def original_spans(text: str, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+def original_spans(text: bytes, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
     """Byte offsets in the original UTF-8 text of runs of words (first word, word after the last)."""
-    places = [m.span() for m in WORD.finditer(text.encode().translate(WORD_BYTES))]
+    places = [m.span() for m in WORD.finditer(text.translate(WORD_BYTES))]
     return [(places[a][0], places[b - 1][1]) for a, b in zip(starts, ends)]

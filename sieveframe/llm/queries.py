@@ -39,7 +39,7 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (common.table(spark, sf_dir, t) for t in ("documents", "benchmark"))
-    return decontaminate.decontaminate(common.placed(docs), benchmark).drop("place")
+    return decontaminate.decontaminate(common.placed(docs), benchmark).drop("place", "spans")
 
 
 def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,6 +177,9 @@ def test_decontamination(spark, shard_bytes):
         total = len(words(text))
         assert (r.n_words, r.n_hit, r.n_items) == (total, len(hit), len(found))
         assert r.items_sha256 == sha(",".join(sorted(found))) and r.contaminated == (len(hit) > 0 and 20 * len(hit) >= total)
+        raw = (text or "").encode()
+        assert [x for a, b in r.spans for x in words(raw[a:b].decode())] == ([w[i] for i in sorted(hit)] if total < 10_000 else ["ab", "cd"][: len(hit)])
+        assert len(r.spans) == sum(i - 1 not in hit for i in hit)
     kept = decontaminate.keep_clean(table(spark, texts, extra=F.lit(1)), bench)
     assert {r.doc_id for r in kept.collect()} == {n for n in got if not got[n].contaminated} and kept.columns == ["doc_id", "text", "extra"]
 
@@ -184,7 +187,7 @@ def test_decontamination(spark, shard_bytes):
 def test_spans_lead_back_to_the_original():
     text = "Éa, B-c  D"
     folded = decontaminate.fold(text.encode()).split()
-    spans = decontaminate.original_spans(text, [1], [3])
+    spans = decontaminate.original_spans(text.encode(), [1], [3])
     assert folded == ["Éa".encode(), b"b", b"c", b"d"] and text.encode()[slice(*spans[0])] == b"B-c"
 
 
