@@ -34,7 +34,7 @@ OFTEN = 16
 #: Bits of the filter that tells most documents which are no target from the others, whatever the number of targets.
 FILTER_BITS = 1 << 26
 #: Losses are summed as integers in this unit, so that sums do not depend on their order.
-UNIT = 2.0**-24
+UNIT = 2.0**-28
 BEGIN, END = 1, 2
 ODD = np.uint64(0x9E3779B97F4A7C15)
 

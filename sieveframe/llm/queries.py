@@ -44,7 +44,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = trusted_labels(spark, sf_dir).filter("trusted").select("doc_id")
-    return lm_score.cross_entropy_difference(common.table(spark, sf_dir, "documents"), target)
+    scored = lm_score.cross_entropy_difference(common.table(spark, sf_dir, "documents"), target)
+    return scored.select("doc_id", "n_tokens", *(F.round(c, 4).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +102,55 @@ def _words(text: str, pattern: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
 
 
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else "'" + x + "'" for x in row) + ")" for row in rows)
+
+
+def _starts(notice: str, phrase: str) -> int:
+    listed, must = notice.split(), phrase.split()
+    return next(i for i in range(len(listed)) if listed[i : i + len(must)] == must)
+
+
+_TEMPLATES = _values((n, label, notice, phrase, _starts(notice, phrase)) for n, (label, phrase, notice) in enumerate(licenses.TEMPLATES))
+
 SQL = {
+    "op5_cross_entropy_difference": f"""
+WITH d AS (SELECT doc_id, {_words("text", _WORDS)} AS ws FROM documents),
+target AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
+e AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM target) AS mine, unnest(list_prepend('<', ws)) AS v, unnest(list_append(ws, '>')) AS w FROM d WHERE len(ws) > 0),
+pairs AS (SELECT v, w, count(*) AS n_b, count(*) FILTER (mine) AS n_t FROM e GROUP BY v, w),
+contexts AS (SELECT v, sum(n_b) AS all_b, sum(n_t) AS all_t FROM pairs GROUP BY v),
+size AS (SELECT count(DISTINCT w) AS kinds FROM pairs),
+priced AS (SELECT v, w, -ln(n_b / (all_b + 1)) AS b, -ln(CASE WHEN n_t > 0 THEN n_t ELSE 1.0 / kinds END / (all_t + 1)) AS t
+           FROM pairs JOIN contexts USING (v), size),
+losses AS (SELECT doc_id, avg(t) AS t, avg(b) AS b FROM e JOIN priced USING (v, w) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, round(t, 4) AS target_loss, round(b, 4) AS background_loss, round(t - b, 4) AS score
+FROM d LEFT JOIN losses USING (doc_id)""",
+    "op6_license_scan": f"""
+WITH d AS (SELECT doc_id, {_words("text", _WORDS)} AS ws FROM documents),
+templates(template, label, notice, phrase, start) AS (VALUES {_TEMPLATES}),
+phrases(phrase, base_label) AS (VALUES {_values(licenses.BASE)}),
+u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM d),
+looked(phrase, words) AS (SELECT phrase, string_split(phrase, ' ') FROM (SELECT phrase FROM templates UNION SELECT phrase FROM phrases) x),
+places AS (SELECT u.doc_id, phrase, pos FROM u JOIN looked ON u.word = words[1] JOIN d ON d.doc_id = u.doc_id AND ws[pos + 1:pos + len(words)] = words),
+base AS (SELECT doc_id, pos, base_label FROM places JOIN phrases USING (phrase)),
+candidates AS (SELECT doc_id, template, label, pos - start AS offs, len(string_split(notice, ' ')) AS size,
+                      unnest(string_split(notice, ' ')) AS word, unnest(range(len(string_split(notice, ' ')))) + pos - start AS pos
+               FROM places JOIN templates USING (phrase)),
+found AS (SELECT doc_id, template, label, offs, count(*) / size AS share FROM candidates JOIN u USING (doc_id, pos, word)
+          GROUP BY doc_id, template, label, offs, size HAVING count(*) >= {licenses.COVERAGE} * size),
+b AS (SELECT doc_id, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word FROM base GROUP BY doc_id),
+named AS (SELECT doc_id, base_label AS label, true AS is_base FROM base UNION SELECT doc_id, label, false FROM found),
+l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels
+      FROM named GROUP BY doc_id),
+f AS (SELECT doc_id, max(share) AS share FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CAST(CASE WHEN b.n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS DOUBLE) AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN f USING (doc_id)""",
     "op4_decontaminate": rf"""
 WITH d AS (SELECT doc_id, {_words("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS ws FROM documents),
 i AS (SELECT item_id, {_words("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS ws FROM benchmark),
