@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD_BYTES, byte_values, trim, without
+from .common import WORD_BYTES, byte_values, held, trim, without
 
 WORD = re.compile(rb"[^ ]+")
 #: A benchmark of more bytes than this is scanned for shard by shard; every shard's automaton fits a worker.
@@ -23,8 +23,6 @@ SHARD_BYTES = 8 << 20
 #: of the original text they stand in, and the ids of the items with occurring windows, sorted.
 HITS = "place string, doc_id long, n_words long, starts array<long>, ends array<long>, from_byte array<long>, to_byte array<long>, items array<string>"
 
-_automata: dict[int, object] = {}
-
 
 def fold(text: bytes) -> bytes:
     """The words of a text, joined by single spaces."""
@@ -91,10 +89,7 @@ def _batch(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
 
 def _search(shared, key: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = build(shared.value, size)
-        automaton = _automata[key]
+        automaton = held(f"automaton {key}", lambda: build(shared.value, size))
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)

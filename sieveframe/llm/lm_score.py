@@ -256,6 +256,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, chunk: int
     marked = near.join(ids.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left").select("doc_id", "text", "target")
     dealt = others.unionByName(marked.mapInArrow(deal[1], ROW)).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     found = materialise(dealt.mapInArrow(_summed, ROW).drop("bucket").groupBy("chunk").applyInArrow(_chunk, RESULT), "lm-losses")
+    bits.destroy()
 
     words = found.filter(f"kind = {VOCABULARY}").agg(F.sum("n")).first()[0] or 0
     missing = float(np.log((words + 1) / ESCAPE))  # the end is an outcome too
