@@ -94,11 +94,11 @@ def settings(spark: SparkSession, wanted: dict[str, str]):
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, batches: dict[str, str] = BATCHES) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with settings(spark, BATCHES):
+    with settings(spark, batches):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

@@ -30,25 +30,23 @@ def decompose(n: int, longest: int = 2048) -> list[int]:
 
 
 def _cut(tokenizer: str, end_id: int, longest: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer).encode
+        encode = tokens.encoder(tokenizer).encode_column
         part, seen = TaskContext.get().partitionId(), Counter()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                ids = [x + end for x in encode(batch.column("text").to_pylist())]
-                rows = []
-                for doc, x in zip(batch.column("doc_id").to_pylist(), ids):
-                    n, start = len(x) // 4, 0
+            for at in range(0, whole.num_rows, tokens.ROWS):
+                batch = whole.slice(at, tokens.ROWS)
+                ids, counts = encode(batch.column("text"), end_id)
+                rows, held, first = [], ids.view(np.uint8).data, 0
+                for doc, n in zip(batch.column("doc_id").to_pylist(), counts.tolist()):
+                    start = 0
                     for length in decompose(n, longest):
                         bucket = length.bit_length() - 1
-                        rows.append((doc, start, length, n, bucket, seen[bucket], zlib.crc32(memoryview(x)[4 * start : 4 * (start + length)])))
+                        rows.append((doc, start, length, n, bucket, seen[bucket], zlib.crc32(held[4 * (first + start) : 4 * (first + start + length)])))
                         seen[bucket] += 1
                         start += length
+                    first += n
                 docs, starts, lengths, totals, buckets, ranks, sums = zip(*rows) if rows else ((),) * 7
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
                 longs = [pa.array(x, type=pa.int64()) for x in (docs, starts, lengths, totals)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -57,7 +55,7 @@ def _cut(tokenizer: str, end_id: int, longest: int):
                         pa.array(buckets, type=pa.int32()),
                         pa.array(ranks, type=pa.int64()),
                         pa.array(sums, type=pa.int64()),
-                        list_column(np.array(lengths, dtype=np.int64), values),
+                        list_column(np.array(lengths, dtype=np.int64), pa.array(ids.view("<i4"))),
                     ],
                     names=["doc_id", "start", "length", "doc_tokens", "part", "bucket", "rank", "ids_crc32", "ids"],
                 )
@@ -78,7 +76,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, longest: int =
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    pieces = materialise(read.mapInArrow(_cut(tokenizer, end_id, longest), PIECES), "pieces")
+    pieces = materialise(read.mapInArrow(_cut(tokenizer, end_id, longest), PIECES), "pieces", tokens.BATCHES)
     before = Window.orderBy(F.desc("bucket"), "part").rowsBetween(Window.unboundedPreceding, -1)
     counts = pieces.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     # Written, so that its size is known when the join is planned: Spark broadcasts it only below its own threshold.

@@ -18,32 +18,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import tokens
-from .common import BATCHES, list_column, settings, text_or_empty, trim
+from .common import list_column, settings, text_or_empty, trim
 
 DATA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
 def _encode(tokenizer: str, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer).encode
+        encode = tokens.encoder(tokenizer).encode_column
         part, start = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                ids = [x + end for x in encode(batch.column("text").to_pylist())]
-                counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            for at in range(0, whole.num_rows, tokens.ROWS):
+                batch = whole.slice(at, tokens.ROWS)
+                ids, counts = encode(batch.column("text"), end_id)
                 starts = start + np.cumsum(counts) - counts
-                start += int(counts.sum())
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+                start += len(ids)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
-                        pa.array(np.full(len(ids), part, dtype=np.int32)),
+                        pa.array(np.full(len(counts), part, dtype=np.int32)),
                         pa.array(starts),
                         pa.array(counts),
-                        list_column(counts, values),
+                        list_column(counts, pa.array(ids.view("<i4"))),
                     ],
                     names=["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
@@ -74,7 +70,7 @@ def write_token_file(
         .select("doc_id", "text")
     )
     data, spark = f"{path}/data", docs.sparkSession
-    with settings(spark, BATCHES):
+    with settings(spark, tokens.BATCHES):
         (
             ordered.mapInArrow(_encode(tokenizer, end_id), DATA)
             .write.option("orc.bloom.filter.columns", "doc_id")

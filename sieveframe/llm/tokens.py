@@ -15,6 +15,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import held
 
@@ -24,6 +26,12 @@ CHUNK = re.compile(r"\s*\S+|\s+")
 RUN = re.compile(r"[ \n]\s")
 #: Characters that Python calls white space and the tokenizer does not, or the other way round; and NUL, the mark below.
 ODD = re.compile(r"[\x00\x1c-\x1f\x85᠎​﻿]")
+#: The same for Arrow's patterns.
+ODD_RE2 = r"[\x00\x1c-\x1f\x{85}\x{180e}\x{200b}\x{feff}]"
+RUN_RE2 = r"[ \n][\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Texts whose distinct chunks are looked up together.
+ROWS = 3000
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS)}
 #: A long text is cut into chunks piece by piece, to bound what is held at once.
 PIECE = 1 << 20
 CUT = re.compile(r"(?<=\S)(?=\s)")
@@ -108,6 +116,9 @@ class ChunkEncoder:
         return b"".join([packed[t.id] for t in self.model.tokenize("Ġ" + word if space and self.spaced else word)])
 
     def _learn(self, key: str) -> bytes:
+        if self.cut is str.split:
+            if len(words := key.split()) != 1 or words[0] != key:
+                return b"".join([self.known[w] for w in words])
         at = 1 if key[:1] in ("\0", "\n") else 0
         found = PLAIN.match(key, at)
         end = found.end() if found else at
@@ -131,12 +142,46 @@ class ChunkEncoder:
             self.parts[text] = self._ids(text)
         return self.parts[text]
 
+    def encode_column(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row (null counts as empty), each text's followed by ``end_id``, and their numbers."""
+        self._renew()
+        texts = pc.fill_null(texts, "")
+        single = pc.or_(pc.match_substring_regex(texts, ODD_RE2 if self.cut is str.split else f"{ODD_RE2}|{RUN_RE2}"), pc.greater(pc.binary_length(texts), PIECE))
+        alone = np.asarray(single)
+        ids, counts = self._encode_words(texts.filter(pc.invert(single)) if alone.any() else texts)
+        if alone.any():
+            parts, own = np.empty(len(alone), dtype=object), [np.frombuffer(x, dtype="<u4") for x in self.encode(texts.filter(single).to_pylist())]
+            parts[~alone] = np.array([*np.split(ids, np.cumsum(counts)[:-1]), None], dtype=object)[:-1] if len(counts) else []
+            for at, x in zip(np.flatnonzero(alone), own):
+                parts[at] = x
+            ids, counts = np.concatenate(list(parts)), np.array([len(x) for x in parts], dtype=np.int64)
+        return np.insert(ids, np.cumsum(counts), np.uint32(end_id)), counts + 1
+
+    def _encode_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that are cut at single spaces: each distinct chunk of the column is looked up once."""
+        if self.cut is not str.split:
+            texts = pc.replace_substring(pc.binary_join_element_wise("\0", texts, ""), "\n", " \n")
+        lists = pc.split_pattern(texts, " ")
+        chunks = lists.flatten().dictionary_encode()
+        found = list(map(self.known.__getitem__, chunks.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(lengths) - lengths
+        which = chunks.indices.to_numpy()
+        own = lengths[which]
+        ends = np.cumsum(own)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + own, own)]
+        upto = np.concatenate([[0], ends])[np.cumsum(lists.value_lengths().to_numpy())]
+        return ids, np.diff(upto, prepend=0)
+
+    def _renew(self) -> None:
+        if len(self.known) > self.keep:  # a new generation; the one before the last is forgotten
+            self.known.before = {}
+            self.known = _Known(self._learn, self.known)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if len(self.known) > self.keep:  # a new generation; the one before the last is forgotten
-                self.known.before = {}
-                self.known = _Known(self._learn, self.known)
+            self._renew()
             if ODD.search(text):
                 out.append(self._ids(text))
             else:

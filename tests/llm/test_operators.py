@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +58,14 @@ def test_chunks_encode_like_whole_texts(name, monkeypatch):
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(60))) for _ in range(1500)]
     whole = [np.array(encoder._plain_ids(x), dtype="<u4").tobytes() for x in texts]
     assert encoder.encode(texts) == whole
+    for size in (1, 7, 1500):  # a column at a time
+        for at in range(0, 1500, size if size > 1 else 300):
+            some = texts[at : at + size]
+            ids, counts = encoder.encode_column(pa.array([*some, None]), 9)
+            parts = np.split(ids, np.cumsum(counts))
+            assert [x.astype("<u4").tobytes() for x in parts[:-1]] == [x + b"\x09\0\0\0" for x in [*whole[at : at + size], b""]]
+    ids, counts = encoder.encode_column(pa.array([], type=pa.string()), 9)
+    assert len(ids) == len(counts) == 0
 
 
 def ids_of(name, text, end):
