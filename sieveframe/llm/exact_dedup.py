@@ -64,20 +64,43 @@ def latest(spark: SparkSession, index: str) -> DataFrame:
     )
 
 
+def _texts_at(locators: DataFrame) -> DataFrame:
+    """``locators`` (digest, locator) with ``known``, the normalised text of that row, read from its own file."""
+    spark = locators.sparkSession
+    locators = materialise(locators, "dedup-older")
+    files = [x[0] for x in locators.select(F.substring_index("locator", "#", 1)).distinct().collect()]  # a row per source file
+    if not files:
+        return locators.withColumn("known", F.lit(""))
+    source = placed(spark.read.parquet(*files)).select(F.col("place").alias("locator"), normalised().alias("known"))
+    return locators.join(source, "locator").select("digest", "locator", "known")
+
+
+def _written(path: str, spark: SparkSession) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 @tidy
-def dedup_rows(docs: DataFrame, digest=lambda text: F.unhex(F.sha2(text, 256)), per_batch: int | None = None) -> DataFrame:
+def dedup_rows(
+    docs: DataFrame,
+    digest=lambda text: F.unhex(F.sha2(text, 256)),
+    per_batch: int | None = None,
+    root: str | None = None,
+    run: str = "run",
+) -> DataFrame:
     """exact_dedup() with the column ``place`` beside it; ``docs`` comes from placed()."""
     spark = docs.sparkSession
-    root = scratch_path(spark, "dedup")
+    root = root or scratch_path(spark, "dedup")
     own = F.col("doc_id").cast("long")
     texts = docs.select(
         own.alias("doc_id"), F.coalesce(own, F.lit(LAST)).alias("id"), "place", normalised().alias("full")
     ).withColumn("digest", digest(F.col("full")))
     # What the stream reads: a row per document, without its text.
-    seen = texts.drop("full")
-    seen.write.parquet(f"{root}/arrivals")
-    seen = spark.read.schema(seen.schema).parquet(f"{root}/arrivals")
-    source = spark.readStream.schema(seen.schema)
+    seen, arrived = texts.drop("full"), f"{root}/arrivals/{run}"
+    if not _written(arrived, spark):  # else this run has begun before, and the stream goes on where it stopped
+        seen.write.mode("overwrite").parquet(arrived)
+    seen = spark.read.schema(seen.schema).parquet(arrived)
+    source = spark.readStream.schema(seen.schema).option("recursiveFileLookup", "true")
     if per_batch:
         source = source.option("maxFilesPerTrigger", per_batch)
     arrivals = source.parquet(f"{root}/arrivals").select("digest", "id", F.col("place").alias("locator"))
@@ -87,18 +110,22 @@ def dedup_rows(docs: DataFrame, digest=lambda text: F.unhex(F.sha2(text, 256)),
     state = materialise(latest(spark, f"{root}/index"), "dedup-state")
 
     # The texts of hits beside the bytes at their locator; AQE splits a digest that many documents share.
-    hits = state.filter("arrivals > 1").select("digest", "locator")
+    hits = state.filter("arrivals > 1").select("digest", "locator", "keep_id")
     hit_texts = materialise(texts.join(hits, "digest"), "dedup-hits")
     known = hit_texts.filter("place = locator").select("digest", F.col("full").alias("known"))
+    older = hit_texts.select("digest", "locator").distinct().join(known, "digest", "left_anti")  # of earlier runs
+    known = known.unionByName(_texts_at(older).select("digest", "known"))
     other = F.when(F.col("full") == F.col("known"), F.lit("")).otherwise(F.concat(F.lit("="), "full"))
     checked = materialise(
-        hit_texts.join(known, "digest").select("digest", "place", "doc_id", "id", other.alias("other")), "dedup-checked"
+        hit_texts.join(known, "digest").select("digest", "place", "doc_id", "id", "locator", "keep_id", other.alias("other")), "dedup-checked"
     )
     forget(hit_texts)
     groups = checked.groupBy("digest", "other").agg(
-        F.min(F.struct("id", "place")).alias("best"), F.count("*").alias("group_size")
+        F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("group_size")
     )
-    hit_rows = checked.join(groups, ["digest", "other"]).select(
+    # Texts like the one at the locator have the smallest identifier of all runs.
+    best = F.when(F.col("other") == "", F.struct(F.col("keep_id").alias("id"), F.col("locator").alias("place"))).otherwise(F.col("first"))
+    hit_rows = checked.join(groups, ["digest", "other"]).withColumn("best", best).select(
         "doc_id",
         F.when(F.col("best.id") != LAST, F.col("best.id")).alias("keep_id"),
         "group_size",
@@ -125,6 +152,11 @@ def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     other. The row with the smallest doc_id of a group stays; null ids come last, and of rows that repeat an id with
     equal texts exactly one stays. An empty table gives no row. Options: ``digest`` maps a normalised text to binary;
     ``per_batch`` limits the files of a micro-batch, else all there are make one.
+
+    ``root`` names a folder that all executors share, in which the state lives on: a later call with it, and with
+    another name as ``run``, meets all documents of the earlier ones, whose Parquet files have to be there still, as hits
+    are compared with the text at its locator. The row that stays is then that with the smallest doc_id of all runs so
+    far, and group_size counts the rows of this run. A call that broke off is repeated with the same ``root`` and ``run``.
     """
     return dedup_rows(placed(docs), **options).drop("place")
 

@@ -30,7 +30,7 @@ ODD = re.compile(r"[\x00\x1c-\x1f\x85᠎​﻿]")
 ODD_RE2 = r"[\x00\x1c-\x1f\x{85}\x{180e}\x{200b}\x{feff}]"
 RUN_RE2 = r"[ \n][\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Texts whose distinct chunks are looked up together.
-ROWS = 3000
+ROWS = 2000
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS)}
 #: A long text is cut into chunks piece by piece, to bound what is held at once.
 PIECE = 1 << 20
@@ -88,7 +88,7 @@ class _Known(dict):
 class ChunkEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -169,7 +169,10 @@ class ChunkEncoder:
         which = chunks.indices.to_numpy()
         own = lengths[which]
         ends = np.cumsum(own)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + own, own)]
+        # Batches hold less than 2**31 ids: each row is at most PIECE long.
+        places = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
+        places += np.repeat((starts[which] - ends + own).astype(np.int32), own)
+        ids = flat[places]
         upto = np.concatenate([[0], ends])[np.cumsum(lists.value_lengths().to_numpy())]
         return ids, np.diff(upto, prepend=0)
 
