@@ -269,6 +269,22 @@ def test_exact_dedup(spark, odd, digest):
     assert kept.count() == len(groups) and kept.columns == docs.columns
 
 
+def test_exact_dedup_of_later_runs(spark, tmp_path):
+    root = str(tmp_path / "state")
+
+    def run(name, rows, again=False):
+        if not again:
+            spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/{name}")
+        found = exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/{name}"), root=root, run=name).collect()
+        return {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in found}
+
+    assert run("monday", [(5, "a b"), (6, "c"), (7, "a  b"), (8, None)]) == {(5, 5, 2, True), (7, 5, 2, False), (6, 6, 1, True), (8, 8, 1, True)}
+    tuesday = {(9, 6, 1, False), (3, 3, 1, True), (10, 10, 2, True), (11, 10, 2, False), (12, 8, 1, False)}
+    assert run("tuesday", [(9, "c"), (3, "a b"), (10, "new"), (11, "new"), (12, "")]) == tuesday
+    assert run("tuesday", [], again=True) == tuesday
+    assert run("wednesday", [(20, "a b"), (21, "new")]) == {(20, 3, 1, False), (21, 10, 1, False)}
+
+
 def test_exact_dedup_of_nothing(spark, odd):
     assert exact_dedup.exact_dedup(odd.limit(0)).count() == 0
 
