@@ -71,7 +71,7 @@ def _deal(buckets: int, chunk_words: int, often_from: int, number: int):
 
     def dealt(chunk: int, words: list[np.ndarray], target: list[bool]) -> Iterator[pa.RecordBatch]:
         flat, owner = _features(words)
-        order = np.argsort(flat)
+        order = np.argsort(flat, kind="stable")  # owners in order too, which compresses better
         flat, owner = flat[order], owner[order]
         first = run_starts(flat)
         counts = np.diff(np.append(first, len(flat))).astype("u4")
@@ -89,11 +89,11 @@ def _deal(buckets: int, chunk_words: int, often_from: int, number: int):
         yield rows(
             TYPES, len(spans), kind=[PART] * len(spans), bucket=[x[0] for x in spans], chunk=[chunk] * len(spans), n=[len(words)] * len(spans),
             a=[planes(keys[s]) for _, s, _ in spans], b=[planes(times[s]) for _, s, _ in spans],
-            c=[owner[places[s.start] : places[s.stop]].tobytes() for _, s, _ in spans],
+            c=[planes(owner[places[s.start] : places[s.stop]]) for _, s, _ in spans],
             d=[planes(often[s]) for _, _, s in spans], e=[planes(totals[s]) for _, _, s in spans], f=[planes(targets[s]) for _, _, s in spans],
             g=[flags] * len(spans),
         )
-        yield rows(TYPES, 1, kind=[SIDE], bucket=[spread(chunk, buckets)], chunk=[chunk], a=[planes(often)], b=[planes(totals)], c=[beside.tobytes()])
+        yield rows(TYPES, 1, kind=[SIDE], bucket=[spread(chunk, buckets)], chunk=[chunk], a=[planes(often)], b=[planes(totals)], c=[planes(beside)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Numbers(_hash)
@@ -148,7 +148,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from _totals(parts)
                 bucket, parts = row["bucket"], []
             flags = np.unpackbits(numbers(row["g"], "u1"), count=row["n"]).astype(bool)
-            parts.append((row["chunk"], row["n"], of_planes(row["a"]), of_planes(row["b"], "u4"), numbers(row["c"], "u2"), of_planes(row["d"]), of_planes(row["e"], "u4"), of_planes(row["f"], "u4"), flags))
+            parts.append((row["chunk"], row["n"], of_planes(row["a"]), of_planes(row["b"], "u4"), of_planes(row["c"], "u2"), of_planes(row["d"]), of_planes(row["e"], "u4"), of_planes(row["f"], "u4"), flags))
     yield from _totals(parts)
     trim()
 
@@ -178,7 +178,7 @@ def _totals(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
     for (chunk, documents, keys, times, owner, often, _, _, _), one, two in zip(parts, spans, spans[len(parts) :]):
         sums = _sums(keys, n_b[one], n_t[one], times, owner, documents)
         there = np.flatnonzero(np.bincount(owner, minlength=documents))
-        yield rows(TYPES, 1, kind=[SUM], chunk=[chunk], a=[there.astype("u2").tobytes()], b=[planes(sums[0][there])], c=[planes(sums[1][there])], d=[planes(sums[2][there].astype("u4"))])
+        yield rows(TYPES, 1, kind=[SUM], chunk=[chunk], a=[planes(there.astype("u2"))], b=[planes(sums[0][there])], c=[planes(sums[1][there])], d=[planes(sums[2][there].astype("u4"))])
         if len(often):
             yield rows(TYPES, 1, kind=[FOUND], chunk=[chunk], a=[planes(often)], b=[planes(n_b[two])], c=[planes(n_t[two])])
 
@@ -194,7 +194,7 @@ def _chunk(table: pa.Table) -> pa.Table:
     count = docs.num_rows
     sums = [np.zeros(count, dtype=np.int64) for _ in range(3)]
     for x in of(SUM).to_pylist():
-        owner = numbers(x["a"], "u2")
+        owner = of_planes(x["a"], "u2")
         for total, own in zip(sums, (of_planes(x["b"], "i8"), of_planes(x["c"], "i8"), of_planes(x["d"], "u4"))):
             total[owner] += own
     found = of(FOUND).to_pylist()
@@ -204,7 +204,7 @@ def _chunk(table: pa.Table) -> pa.Table:
     for x in of(SIDE).to_pylist():
         often = of_planes(x["a"])
         at = np.searchsorted(keys[order], often)
-        for total, own in zip(sums, _sums(often, n_b[at], n_t[at], of_planes(x["b"], "u4"), numbers(x["c"], "u2"), count)):
+        for total, own in zip(sums, _sums(often, n_b[at], n_t[at], of_planes(x["b"], "u4"), of_planes(x["c"], "u2"), count)):
             total += own
     seq = docs.column("seq").to_numpy()
     return pa.table(
