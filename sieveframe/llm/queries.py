@@ -116,7 +116,40 @@ def _starts(notice: str, phrase: str) -> int:
 
 _TEMPLATES = _values((n, label, notice, phrase, _starts(notice, phrase)) for n, (label, phrase, notice) in enumerate(licenses.TEMPLATES))
 
+_RULES = ", ".join(f"('{verdict}', '{host}', '{path}')" for verdict, host, path in URL_RULES)
+
 SQL = {
+    "op3_url_rules": rf"""
+WITH p AS (SELECT row_number() OVER () AS id, page_id, coalesce(url, '') AS u FROM pages),
+h AS (SELECT id, page_id, u, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+             regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+             regexp_replace(regexp_extract(u, '(?s)^[^?#]*\?([^#]*)', 1), '=[^&]*', '', 'g') AS query FROM p),
+t AS (SELECT id, page_id, host, path, list_distinct(list_concat(
+        ['scheme:' || split_part(u, '://', 1)],
+        [('host:' || regexp_replace(x, '[0-9]+', '#', 'g')) FOR x IN string_split(host, '.') IF x <> ''],
+        [('path:' || regexp_replace(x, '[0-9]+', '#', 'g')) FOR x IN regexp_split_to_array(path, '[/._-]+') IF x <> ''],
+        [('query:' || regexp_replace(x, '[0-9]+', '#', 'g')) FOR x IN string_split(query, '&') IF x <> ''],
+        CASE WHEN contains(u, '#') THEN ['fragment:'] ELSE [] END)) AS tokens FROM h),
+known AS (SELECT doc_id AS page_id, bool_or(quality = 0) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+labelled AS (SELECT id, tokens, bad FROM t JOIN known USING (page_id)),
+tokens AS (SELECT id, bad, unnest(tokens) AS item FROM labelled),
+covers AS (SELECT item, count(*) AS n, count(*) FILTER (bad) AS n_bad, list(id ORDER BY id) AS cover FROM tokens GROUP BY item),
+kept AS (SELECT min(item) AS item FROM covers WHERE n_bad >= 5 AND n < (SELECT count(*) FROM labelled) GROUP BY cover),
+items AS (SELECT id, bad, list(item ORDER BY item) AS items FROM tokens JOIN kept USING (item) GROUP BY id, bad),
+masks AS (SELECT items, unnest(range(1, CAST(2 ** len(items) AS BIGINT))) AS mask FROM items WHERE bad),
+sets AS (SELECT [x FOR x, i IN items IF (mask >> (i - 1)) & 1 = 1] AS items, count(*) AS support FROM masks GROUP BY 1 HAVING count(*) >= 5),
+counted AS (SELECT s.items, support, count(*) AS n FROM sets s JOIN items i ON list_has_all(i.items, s.items) GROUP BY s.items, support),
+sure AS (SELECT items, support, support / n AS confidence FROM counted WHERE support / n >= 0.9),
+fewer AS (SELECT items, confidence, [x FOR x IN items IF x <> item] AS less FROM (SELECT items, confidence, unnest(items) AS item FROM sure) x),
+mined AS (SELECT * FROM sure WHERE items NOT IN (SELECT f.items FROM fewer f JOIN sure s ON s.items = f.less AND s.confidence >= f.confidence)),
+by_rule AS (SELECT id, items, support, confidence, row_number() OVER (PARTITION BY id ORDER BY confidence DESC, support DESC, items DESC) AS nth
+            FROM t JOIN mined ON list_has_all(tokens, items)),
+rules(verdict, rule_host, rule_path) AS (VALUES {_RULES}),
+by_list AS (SELECT id, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY id ORDER BY length(rule_host || rule_path) DESC, rule_host || rule_path DESC, verdict DESC) AS nth
+            FROM t JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, l.rule, coalesce(l.verdict, CASE WHEN r.id IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       array_to_string(r.items, ' ') AS mined_rule, r.support, r.confidence
+FROM t LEFT JOIN by_list l ON l.id = t.id AND l.nth = 1 LEFT JOIN by_rule r ON r.id = t.id AND r.nth = 1""",
     "op5_cross_entropy_difference": f"""
 WITH d AS (SELECT doc_id, {_words("text", _WORDS)} AS ws FROM documents),
 target AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND toxic = 0),
