@@ -74,7 +74,7 @@ def op10_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
-    return sharding.histogram_shards(docs, 24).select(
+    return sharding.histogram_shards(docs, 24, tolerance=0.0).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
@@ -198,6 +198,19 @@ m AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids F
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id""",
+    "op10_histogram_shards": """
+WITH steps AS (SELECT i AS byte, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS value
+               FROM range(256) r(i)),
+crcs AS (SELECT list(value ORDER BY byte) AS crc FROM steps),
+b AS (SELECT doc_id, [CAST('0x' || p AS BIGINT) FOR p IN regexp_extract_all(hex(encode(coalesce(text, ''))), '..')] AS bytes FROM documents),
+d AS (SELECT doc_id, len(bytes) + 8 AS size,
+             xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, crc[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295) AS text_crc32 FROM b, crcs),
+s AS (SELECT *, CAST(sum(size) OVER (ORDER BY doc_id) AS BIGINT) AS upto, CAST(sum(size) OVER () AS BIGINT) AS total, row_number() OVER (ORDER BY doc_id) - 1 AS nth FROM d),
+targets AS (SELECT k, (SELECT max(total) FROM s) * k // 24 AS target FROM range(1, 24) r(k)),
+cuts AS (SELECT k, CASE WHEN upto - target < target - (upto - size) THEN nth + 1 ELSE nth END AS cut FROM targets JOIN s ON upto - size < target AND target <= upto),
+placed AS (SELECT doc_id, size, text_crc32, (SELECT count(*) FROM cuts WHERE cut <= nth) AS shard FROM s)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed""",
     "op9_jaccard_join": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, {_words("text", r"[^\x20\x09-\x0D]+")} AS ws FROM documents),
 l AS (SELECT doc_id, ws, least(len(ws), 5) AS size FROM d WHERE len(ws) > 0),
