@@ -30,7 +30,7 @@ ODD = re.compile(r"[\x00\x1c-\x1f\x85᠎​﻿]")
 ODD_RE2 = r"[\x00\x1c-\x1f\x{85}\x{180e}\x{200b}\x{feff}]"
 RUN_RE2 = r"[ \n][\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Texts whose distinct chunks are looked up together.
-ROWS = 2000
+ROWS = 1200
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS)}
 #: A long text is cut into chunks piece by piece, to bound what is held at once.
 PIECE = 1 << 20
@@ -164,17 +164,19 @@ class ChunkEncoder:
         lists = pc.split_pattern(texts, " ")
         chunks = lists.flatten().dictionary_encode()
         found = list(map(self.known.__getitem__, chunks.dictionary.to_numpy(zero_copy_only=False).tolist()))
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        flat, starts = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(lengths) - lengths
+        # Batches hold less than 2**31 ids: each row is at most PIECE long.
+        lengths = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // 4
+        flat, starts = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(lengths, dtype=np.int32) - lengths
         which = chunks.indices.to_numpy()
         own = lengths[which]
-        ends = np.cumsum(own)
-        # Batches hold less than 2**31 ids: each row is at most PIECE long.
+        ends = np.cumsum(own, dtype=np.int32)
         places = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
-        places += np.repeat((starts[which] - ends + own).astype(np.int32), own)
+        places += np.repeat(starts[which] - ends + own, own)
         ids = flat[places]
         upto = np.concatenate([[0], ends])[np.cumsum(lists.value_lengths().to_numpy())]
-        return ids, np.diff(upto, prepend=0)
+        del lists, chunks, texts
+        pa.default_memory_pool().release_unused()
+        return ids, np.diff(upto, prepend=0).astype(np.int64)
 
     def _renew(self) -> None:
         if len(self.known) > self.keep:  # a new generation; the one before the last is forgotten
