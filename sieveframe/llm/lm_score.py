@@ -254,6 +254,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, chunk: int
     others = texts.mapInArrow(lambda batches: deal[0](passing(False)(batches)), ROW)
     near = texts.mapInArrow(passing(True), "doc_id long, text string, target boolean").drop("target")
     marked = near.join(ids.withColumn("target", F.lit(True)).hint("merge"), "doc_id", "left").select("doc_id", "text", "target")
+    # In one order, so that a task that has to run again cuts the same chunks.
+    marked = marked.withColumn("tie", F.xxhash64("text")).sortWithinPartitions("doc_id", "tie").drop("tie")
     dealt = others.unionByName(marked.mapInArrow(deal[1], ROW)).repartition(tasks, "bucket").sortWithinPartitions("bucket")
     found = materialise(dealt.mapInArrow(_summed, ROW).drop("bucket").groupBy("chunk").applyInArrow(_chunk, RESULT), "lm-losses")
     bits.destroy()
