@@ -78,7 +78,7 @@ class Tally:
 
 
 def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    """The values of ``wanted`` in the table with sorted ``keys``."""
+    """The values of ``wanted``, best in ascending order, in the table with sorted ``keys``."""
     if not len(keys):
         return np.full(len(wanted), missing)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
