@@ -100,8 +100,8 @@ def _deal(buckets: int, chunk_words: int, often_from: int, number: int):
         chunk, words, target, size = (TaskContext.get().partitionId() << 25) + (number << 24), [], [], 0
         for batch, texts in slices(batches):
             chunks, seqs, ns = [], [], []
-            for text, is_target in zip(texts, batch.column("target").to_pylist()):
-                found = known.of(text, WORD_BYTES).view(np.uint64)
+            for found, is_target in zip(known.of_all(texts, WORD_BYTES), batch.column("target").to_pylist()):
+                found = found.view(np.uint64)
                 chunks.append(chunk)
                 seqs.append(len(words))
                 ns.append(len(found))

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from .blobs import mix, numbers, of_planes, planes, rows, run_starts, spread
 from .common import LOWER_BYTES, byte_values, forget, held, materialise, placed, tidy, trim, without
 from .graph import components
+from .ngrams import Numbers
 from .regions import LEAF, Region, shared_with
 
 WORDS = 5
@@ -58,39 +59,14 @@ ROW_TYPES = {"kind": pa.int32(), "bucket": pa.int32(), "chunk": pa.int64(), "seq
 ROW_TYPES |= {c: pa.int64() for c in ("hi", "lo", "n")} | {c: pa.binary() for c in "abcde"}
 
 
-class _WordHash(dict):
-    """word -> 64-bit hash, kept for the words met lately."""
+def _hashes() -> Numbers:
+    from xxhash import xxh3_64_intdigest
 
-    def __init__(self):
-        from xxhash import xxh3_64_intdigest
+    return Numbers(xxh3_64_intdigest, kind=np.uint64)
 
-        self.hashed = xxh3_64_intdigest
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        self[word] = out = self.hashed(word)
-        return out
-
-
-def word_hashes(words: _WordHash, text: bytes, piece: int = 4 << 20) -> np.ndarray:
-    """The hashes of the words ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased, a piece of a long text at a time."""
-    parts, at, get = [], 0, words.__getitem__
-    while at < len(text):
-        end = at + piece
-        while end < len(text) and text[end] not in b" \t\n\v\f\r":
-            end += 1
-        found = text[at:end].translate(LOWER_BYTES).split()
-        parts.append(np.fromiter(map(get, found), dtype=np.uint64, count=len(found)))
-        at = end
-    return np.concatenate(parts) if len(parts) != 1 else parts[0]
-
-
-def shingle_set(words: _WordHash, text: bytes, size: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; fewer words make one shingle, none make none."""
-    if not text:
-        return np.zeros(0, dtype=np.uint64)
-    ids = word_hashes(words, text)
+def shingle_set(ids: np.ndarray, size: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of the shingles of words with these hashes; fewer words make one shingle, none none."""
     n = len(ids)
     if n == 0:
         return ids
@@ -145,13 +121,14 @@ def _describe(buckets: int, most: int, often_from: int):
             yield rows(ROW_TYPES, 1, kind=[SIDE], bucket=[spread(chunk, buckets)], chunk=[chunk], a=[planes(often)], b=[beside.astype("<u2").tobytes()], c=[times.tobytes()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, chunk, sets, known, size = held("near-words", _WordHash), TaskContext.get().partitionId() << 24, [], {}, 0
+        words, chunk, sets, known, size = held("near-words", _hashes), TaskContext.get().partitionId() << 24, [], {}, 0
         for whole in batches:
             for at in range(0, whole.num_rows, 400):
                 batch = whole.slice(at, 400)
                 chunks, seqs, names, ns = [], [], [], []
-                for text in byte_values(batch.column("text")):
-                    shingles = shingle_set(words, text)
+                # Words are [^\x20\x09-\x0D]+ after A-Z are lower-cased.
+                for ids in words.of_all(byte_values(batch.column("text")), LOWER_BYTES):
+                    shingles = shingle_set(ids)
                     name = signature(shingles) if len(shingles) else (None, None)
                     if len(shingles) and name not in known:
                         known[name] = len(sets)

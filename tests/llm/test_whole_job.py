@@ -80,3 +80,20 @@ def test_rare_hosts_and_long_sets_become_rules(spark):
     labels = spark.createDataFrame([(i, i < len(bad)) for i in range(len(urls))], "page_id long, bad boolean")
     rows = url_rules.judge_urls(pages, [("allow", "nowhere.example", "/")], labels).collect()
     assert all((r.verdict == "block") == (r.page_id < len(bad)) for r in rows)
+
+
+def test_numbers_of_many_texts(monkeypatch):
+    from sieveframe.llm import ngrams
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "bb", "é", "\xa0", " ", "  ", "\t", "\n", "\x0b", "\x1c", "C"]) for _ in range(rng.randrange(40))).encode() for _ in range(300)]
+    for piece, keep in ((4 << 20, 5), (7, 100_000)):
+        monkeypatch.setattr(ngrams, "PIECE", piece)
+        seen: list[bytes] = []
+        numbers = ngrams.Numbers(lambda w: seen.append(w) or sum(w) * 31 + len(w), keep=keep)
+        for at in range(0, 300, 50):
+            some = [b"", *texts[at : at + 50], b" ", b"a "]
+            got = numbers.of_all(some, common.LOWER_BYTES)
+            assert [x.tolist() for x in got] == [[sum(w) * 31 + len(w) for w in t.translate(common.LOWER_BYTES).split()] for t in some]
+        assert keep == 5 or len(seen) == len(set(seen))
+    assert numbers.of_all([]) == [] and numbers.of(b"").tolist() == []
