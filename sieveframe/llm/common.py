@@ -148,7 +148,9 @@ _held: dict[str, object] = {}
 def held(name: str, make: Callable[[], object]):
     """What this worker keeps for later tasks of the same kind; what it kept for another kind is dropped."""
     if name not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            trim()
         _held[name] = make()
     return _held[name]
 

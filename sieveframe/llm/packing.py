@@ -29,13 +29,17 @@ def decompose(n: int, longest: int = 2048) -> list[int]:
     return [longest] * (n // longest) + bits
 
 
+#: Texts that are encoded together: fewer than elsewhere, as packing comes after other stages, which leave executors full.
+ROWS = 300
+
+
 def _cut(tokenizer: str, end_id: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.encoder(tokenizer).encode_column
         part, seen = TaskContext.get().partitionId(), Counter()
         for whole in batches:
-            for at in range(0, whole.num_rows, tokens.ROWS):
-                batch = whole.slice(at, tokens.ROWS)
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 ids, counts = encode(batch.column("text"), end_id)
                 rows, held, first = [], ids.view(np.uint8).data, 0
                 for doc, n in zip(batch.column("doc_id").to_pylist(), counts.tolist()):
@@ -76,7 +80,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, longest: int =
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    pieces = materialise(read.mapInArrow(_cut(tokenizer, end_id, longest), PIECES), "pieces", tokens.BATCHES)
+    pieces = materialise(read.mapInArrow(_cut(tokenizer, end_id, longest), PIECES), "pieces")
     before = Window.orderBy(F.desc("bucket"), "part").rowsBetween(Window.unboundedPreceding, -1)
     counts = pieces.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     # Written, so that its size is known when the join is planned: Spark broadcasts it only below its own threshold.

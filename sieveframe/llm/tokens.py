@@ -32,6 +32,8 @@ RUN_RE2 = r"[ \n][\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{
 #: Texts whose distinct chunks are looked up together.
 ROWS = 1200
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS)}
+#: Chunks that a worker keeps.
+KEEP = 600_000
 #: A long text is cut into chunks piece by piece, to bound what is held at once.
 PIECE = 1 << 20
 CUT = re.compile(r"(?<=\S)(?=\s)")
@@ -88,7 +90,7 @@ class _Known(dict):
 class ChunkEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = KEEP):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
