@@ -30,7 +30,7 @@ def decompose(n: int, longest: int = 2048) -> list[int]:
 
 
 #: Texts that are encoded together: fewer than elsewhere, as packing comes after other stages, which leave executors full.
-ROWS = 300
+ROWS = 700
 
 
 def _cut(tokenizer: str, end_id: int, longest: int):
