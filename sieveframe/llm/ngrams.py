@@ -1,4 +1,4 @@
-"""Counting and looking up n-grams of integer tokens, for the n-gram models."""
+"""Numbering words and looking up n-grams of integer tokens, for the n-gram models."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
 
 from .common import byte_values
 
@@ -73,42 +72,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[tuple
             yield batch, byte_values(batch.column("text"))
 
 
-class Tally:
-    """Sums of several columns by key, held until there are ``most`` keys; full() and rest() hand them out."""
-
-    def __init__(self, names: list[str], most: int = 1_000_000):
-        self.names, self.most, self.parts, self.size = names, most, [], 0
-
-    def add(self, keys: np.ndarray, *sums: np.ndarray) -> None:
-        if len(keys):
-            self.parts.append((keys, *sums))
-            self.size += len(keys)
-
-    def _merged(self) -> tuple[np.ndarray, ...]:
-        columns = [np.concatenate(x) for x in zip(*self.parts)]
-        keys, inverse = np.unique(columns[0], return_inverse=True)
-        return keys, *(np.bincount(inverse, weights=c, minlength=len(keys)).astype(np.int64) for c in columns[1:])
-
-    def take(self, force: bool = False) -> Iterator[pa.RecordBatch]:
-        if self.parts and (force or self.size > 2 * self.most):
-            merged = self._merged()
-            if force or len(merged[0]) > self.most:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged], names=self.names)
-                self.parts, self.size = [], 0
-            else:
-                self.parts, self.size = [merged], len(merged[0])
-
-
 def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
     """The values of ``wanted``, best in ascending order, in the table with sorted ``keys``."""
     if not len(keys):
         return np.full(len(wanted), missing)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, values[at], missing)
-
-
-def sorted_table(df: DataFrame, key: str, *values: str) -> tuple[np.ndarray, ...]:
-    """A bounded table as arrays in order of its key."""
-    got = df.select(key, *values).toArrow()
-    order = np.argsort(got.column(0).to_numpy(), kind="stable")
-    return tuple(got.column(i).to_numpy()[order] for i in range(got.num_columns))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sieveframe.llm import common, lm_score, quality, url_rules
 
 from test_operators import table, words
+from test_pipeline import plain_model
 
 
 def brute_losses(texts, chosen):
@@ -97,3 +98,53 @@ def test_numbers_of_many_texts(monkeypatch):
             assert [x.tolist() for x in got] == [[sum(w) * 31 + len(w) for w in t.translate(common.LOWER_BYTES).split()] for t in some]
         assert keep == 5 or len(seen) == len(set(seen))
     assert numbers.of_all([]) == [] and numbers.of(b"").tolist() == []
+
+
+def test_every_trusted_text_trains_the_quality_model(spark):
+    rng = random.Random(15)
+    texts = [f"w{i} of w{i} w{rng.randrange(60)} w{i} is w{i}" for i in range(7_500)]  # some 5,250 of them for training
+    docs = table(spark, texts, lang=F.lit("en"))
+    got = {r.doc_id: r.perplexity for r in quality.classify(common.placed(docs), docs.select("doc_id", F.lit(True).alias("trusted"))).collect()}
+    aside = {r.doc_id for r in docs.filter("pmod(xxhash64(doc_id), 1000) < 300").collect()}
+    assert len(texts) - len(aside) > 5_000
+    loss = plain_model([t for i, t in enumerate(texts) if i not in aside], 4)
+    for i, t in enumerate(texts):
+        expected = loss(t)
+        assert got[i] == pytest.approx(math.exp(sum(expected) / len(expected)), rel=1e-9)
+
+
+def test_the_quality_model_knows_every_word(spark):
+    texts = [" ".join(f"w{i + k}" for i in range(5_000) for _ in range(2)) for k in range(0, 50_000, 5_000)] * 2
+    assert len(quality.train(spark.createDataFrame([(t,) for t in texts], "text string")).vocabulary) == 50_000
+
+
+@pytest.mark.parametrize("chunk, rounds", [(1, 1), (60, 3)])
+def test_chunks_and_rounds_leave_the_perplexity_as_it_is(spark, chunk, rounds):
+    rng = random.Random(16)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.randrange(1, 40))) for _ in range(80)]
+    docs = table(spark, [*texts, None, ""], lang=F.lit("en")).repartition(3)
+    loss = plain_model(texts[:60], 2)
+    model = quality.train(docs.filter("doc_id < 60").select("text"), min_count=2, chunk=chunk)
+    got = {r.doc_id: r for r in quality.score(common.placed(docs), model, chunk=chunk, rounds=rounds).collect()}
+    assert len(got) == len(texts) + 2 and got[80].loss == got[81].loss == got[80].n_tokens == 0
+    for i, t in enumerate(texts):
+        assert got[i].n_tokens == len(loss(t)) and got[i].loss == pytest.approx(sum(loss(t)), rel=1e-9)
+
+
+@pytest.mark.parametrize("bits", [21, 31])
+def test_wide_tokens_are_sorted_like_narrow_ones(bits):
+    u, v, w = np.random.default_rng(1).integers(0, 40, (3, 5_000)) << (bits - 7)
+    order, first, pair, mine = quality._sorted(u, v, w, bits)
+    n = np.diff(np.append(first, len(order)))
+    back = ((pair >> bits) * pow(quality.ODD, -1, 1 << bits)) & ((1 << bits) - 1)
+    found = dict(zip(zip(mine.tolist(), back.tolist(), (pair & ((1 << bits) - 1)).tolist()), n.tolist()))
+    assert found == Counter(zip(u.tolist(), v.tolist(), w.tolist())) and (np.diff(pair) >= 0).all()
+
+
+def test_thresholds_are_exact_quantiles(spark):
+    rng = random.Random(17)
+    scores = {"en": [rng.random() for _ in range(60_000)], "de": [rng.random() for _ in range(501)], "fr": [0.5]}
+    rated = spark.createDataFrame([(g, x) for g, xs in scores.items() for x in xs], "lang string, score double")
+    at = lambda xs: sorted(xs)[math.ceil(round(len(xs) * 0.998, 6)) - 1]
+    assert {r.lang: r.own for r in quality._quantile(rated, 0.998, "lang").collect()} == {g: at(xs) for g, xs in scores.items()}
+    assert [r.own for r in quality._quantile(rated, 0.998).collect()] == [at([x for xs in scores.values() for x in xs])]
