@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -150,6 +151,7 @@ def held(name: str, make: Callable[[], object]):
     if name not in _held:
         if _held:
             _held.clear()
+            gc.collect()  # an encoder refers to itself, so only the collector frees it
             trim()
         _held[name] = make()
     return _held[name]
